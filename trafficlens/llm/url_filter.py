@@ -75,6 +75,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     seen = {t: 0 for t in known}
     if known:  # as many rows come back as the rules have tokens
         wanted = spark.createDataFrame([(t,) for t in known], "token string")
+        wanted = F.broadcast(wanted) if len(rules) <= BROADCAST_RULES else wanted
         seen |= {r["token"]: r["n"] for r in tokens.join(wanted, "token").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     rows = [(min(r.tokens, key=lambda t: (seen[t], t), default=""), r.name, r.action, r.pattern, len(r.name)) for r in rules]
     index = spark.createDataFrame(rows, "token string, rule string, action string, pattern string, length int")
