@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .embed_dedup import OP8_SQL, op8_embedding_dedup
+from .language import op5_language_id
 from .mixing import OP9_SQL, op9_mixing
+from .packing import op10_packing
+from .quality import op1_quality
 from .topk import OP3_SQL, op3_exact_topk
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_exact_topk": op3_exact_topk,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
-ORACLES = {"op3_exact_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op3_exact_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
