@@ -32,6 +32,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of up to so many rows of a few numbers each (some 60 MB) may be sent to all executors.
+SENT_ROWS = 2_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table of numbers, marked for sending to all executors if it is small; a larger one is joined by
+    shuffle."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(0))
