@@ -7,7 +7,6 @@ are learnt by expectation maximisation over the same sums.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialise, table
-from .tokens import default_path
+from .tokens import byte_pieces, default_path
 
 #: Documents of a language that the probabilities are fitted on, about (chosen by hash), and rounds of the fit.
 FIT_DOCS, ROUNDS = 1_500, 3
@@ -41,12 +40,7 @@ class Vocabulary:
     """The pieces of a byte-level BPE file of up to PIECE bytes, found by a rolling hash in an open table."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            names = json.load(f)["model"]["vocab"]
-        # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and what follows.
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        pieces = sorted({bytes(byte_of[c] for c in name) for name in names if all(c in byte_of for c in name)})
+        pieces = sorted(byte_pieces(path))
         self.pieces = [p for p in pieces if 0 < len(p) <= PIECE]
         self.size = len(self.pieces)
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from array import array
 from functools import cache
 
 import public_tokenizers
-from tokenizers import Tokenizer
+import tiktoken
 
 #: Pieces kept by a worker, some 100 MB; further ones are encoded each time they occur.
 CACHE = 400_000
@@ -15,48 +17,48 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_pieces(path: str) -> dict[bytes, int]:
+    """The pieces of a byte-level BPE file as bytes, with their ids; special tokens left out.  In the file, printable
+    bytes stand for themselves and the others for 256 and what follows."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in whole.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in name): i for name, i in whole["model"]["vocab"].items() if name not in special}
+
+
 class Encoder:
-    """Text -> little-endian unsigned 16-bit ids.
+    """Text -> little-endian unsigned 16-bit ids; strings of special tokens are ordinary text.
 
-    The vocabulary's pre-tokeniser attaches one space to what follows and never joins across it, so the pieces between
-    single spaces are encoded on their own; only a run of spaces is looked at as a whole, and such texts are encoded at
-    once.
+    The pre-tokeniser attaches one space to what follows and never joins across it, so the pieces between single spaces
+    are encoded on their own; texts with a run of spaces are encoded at once.  Pieces are merged in the order of their
+    ids, as in the files that this reads.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        ranks = byte_pieces(path)
+        if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids over 16 bits")
+        self.bpe = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def _new(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+    def _new(self, text: str) -> bytes:
+        return array("H", self.bpe.encode_ordinary(text)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if "  " in t else t.split(" ") for t in texts]
-        for u in split:
-            if u is not None:
-                u[0] = "\0" + u[0]  # the first piece has no space before it
-        unseen = list({p for u in split if u is not None for p in u} - self.known.keys())
-        extra = dict(zip(unseen, self._new([p[1:] if p[:1] == "\0" else " " + p for p in unseen]), strict=True))
-        room = CACHE - len(self.known)
-        if room > 0:
-            self.known.update((p, extra[p]) for p in unseen[:room])
-        whole = iter(self._new([t for t, u in zip(texts, split, strict=True) if u is None]))
-        if room >= len(unseen):
-            get = self.known.__getitem__
-        else:
-            both = extra | {}
-            known = self.known
-
-            def get(p: str) -> bytes:
-                return known[p] if p in known else both[p]
-
-        return [next(whole) if u is None else b"".join(map(get, u)) for u in split]
+        some = [u for u in split if u is not None]
+        for u in some:
+            u[0] = "\0" + u[0]  # the first piece has no space before it
+        unseen = set().union(*some).difference(self.known)
+        self.known.update((p, self._new(p[1:] if p[:1] == "\0" else " " + p)) for p in unseen)
+        get = self.known.__getitem__
+        out = [self._new(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, split, strict=True)]
+        if len(self.known) > CACHE:
+            for p in unseen:
+                del self.known[p]
+        return out
 
 
 @cache
