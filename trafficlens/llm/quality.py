@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialise, table
 
-#: Labelled rows that the weights are fitted on at most (those with the smallest hashes), and pairs made of each.
+#: Labelled rows that the weights are fitted on, about (chosen by hash), and pairs made of each.
 FIT_ROWS, PAIRS = 20_000, 4
 #: The score at the threshold.
 CUT = 0.3
@@ -102,14 +102,15 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     """doc_id, score (0 to 1, higher: better), predicted (1 if score >= 0.3), one row per document.
 
     `labels` has doc_id and quality; rows whose quality is neither 0 nor 1 are ignored, and `learn` (on doc_id) says
-    which may be learnt from.  At most FIT_ROWS of them fit the weights; the threshold is a quantile over all of them.
+    which may be learnt from.  About FIT_ROWS of them fit the weights; the threshold is a quantile over all of them.
     Without rows of both labels there is nothing to rank, and every score is 0.5.  Null and empty texts are scored as
     texts without words; equal texts get equal scores; repeated rows are each scored; an empty table gives none.
     """
     x = materialise(featurise(docs))
     known = labels.where(F.col("quality").isin(0, 1)).where(F.lit(True) if learn is None else learn)
     known = materialise(x.join(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "doc_id"))
-    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).toPandas()
+    share = FIT_ROWS / max(1, known.count())
+    fit = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share).toPandas().sort_values("doc_id")
     y, m = fit["quality"].to_numpy(int), fit[list(FEATURES)].to_numpy(float)
     if len(set(y)) < 2:
         return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
