@@ -29,7 +29,10 @@ UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 1 << 21
+_SLOTS = 1 << 18
+_SHIFT = np.uint64(64 - 18)
+#: Words whose likelihoods a worker keeps, some 60 MB.
+CACHE = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -40,14 +43,15 @@ class Vocabulary:
     """The pieces of a byte-level BPE file of up to PIECE bytes, found by a rolling hash in an open table."""
 
     def __init__(self, path: str):
-        pieces = sorted(byte_pieces(path))
-        self.pieces = [p for p in pieces if 0 < len(p) <= PIECE]
+        # Words are lower-case letters after a space: no other byte of ASCII can occur in them.
+        able = re.compile(rb" ?[a-z\x80-\xff]+| ")
+        self.pieces = [p for p in sorted(byte_pieces(path)) if len(p) <= PIECE and able.fullmatch(p)]
         self.size = len(self.pieces)
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         self.key, self.value = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, self.size, np.int32)
         self.depth = 1
         for i, h in enumerate(hashes):
-            at, d = int(h >> np.uint64(43)), 1
+            at, d = int(self._slot(h)), 1
             while self.value[at] != self.size:
                 at, d = (at + 1) % _SLOTS, d + 1
             self.key[at], self.value[at], self.depth = h, i, max(self.depth, d)
@@ -59,9 +63,13 @@ class Vocabulary:
             h = (h * int(_BASE) + b + 1) % (1 << 64)
         return h
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> _SHIFT
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Indices of pieces; `size` where there is none."""
-        at = (h >> np.uint64(43)).astype(np.int64)
+        at = self._slot(h).astype(np.int64)
         out = np.where(self.key[at] == h, self.value[at], self.size)
         left = np.flatnonzero((out == self.size) & (self.value[at] != self.size))
         for _ in range(1, self.depth):
@@ -107,9 +115,11 @@ def forward(index: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
     last one zero."""
     a = np.zeros((n + 1, index.shape[2], p.shape[1]))
     a[0] = 1
+    nothing = len(p) - 1
     for i in range(1, n + 1):
         for length in range(1, min(i, PIECE) + 1):
-            a[i] += a[i - length] * p[index[i, length]]
+            some = np.flatnonzero(index[i, length] != nothing)
+            a[i, some] += a[i - length, some] * p[index[i, length, some]]
     return a
 
 
@@ -192,7 +202,7 @@ def identify(docs: DataFrame, train: DataFrame, tokenizer: str | None = None) ->
     p = fit(sample.select("text", "lang"), langs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path)
+        voc, known = vocabulary(path), {}
         for batch in batches:
             texts = batch.column("text").to_pylist()
             at = 0
@@ -204,11 +214,17 @@ def identify(docs: DataFrame, train: DataFrame, tokenizer: str | None = None) ->
                 of = [words_of(t or "") for t in texts[at:to]]
                 place: dict[str, int] = {}
                 flat = np.array([place.setdefault(w, len(place)) for ws in of for w in ws], np.int64)
+                unseen = [w for w in place if w not in known]
                 sizes = np.array(list(map(len, of)))
                 total = np.zeros((len(of), len(langs)))
                 if len(flat):
                     with np.errstate(over="ignore"):
-                        each = log_likelihoods(list(place), p, voc)
+                        found = log_likelihoods(unseen, p, voc)
+                    known.update(zip(unseen, found, strict=True))
+                    each = np.array([known[w] for w in place])
+                    if len(known) > CACHE:
+                        for w in unseen:
+                            del known[w]
                     some = np.flatnonzero(sizes)
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
                     for k in range(len(langs)):
