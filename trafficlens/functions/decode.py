@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROUNDS, LOOKUP_ROUNDS = 3, 10
 
@@ -42,7 +43,7 @@ def _collapse(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _collapsed(texts: pd.Series) -> pd.Series:
     return texts.map(_collapse, na_action="ignore")
 
@@ -50,3 +51,24 @@ def _collapsed(texts: pd.Series) -> pd.Series:
 def deobfuscate(text: Column) -> Column:
     """Collapses literal lookups, innermost first.  Texts without `${` stay in the JVM."""
     return F.when(text.contains("${"), _collapsed(F.when(text.contains("${"), text))).otherwise(text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_collapsed(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: [_collapse(t) for t in ts], na_action="ignore")
+
+
+def deobfuscate_all(texts: Column) -> Column:
+    """Each text of an array with its lookups collapsed."""
+    some = F.exists(texts, lambda t: t.contains("${"))
+    return F.when(some, _all_collapsed(F.when(some, texts))).otherwise(texts)
+
+
+def valid_text(data: Column) -> Column:
+    """Bytes as UTF-8 text; what is not valid becomes U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def latin1(data: Column) -> Column:
+    """Bytes as text of one character each, so that no byte is lost."""
+    return F.decode(data, "ISO-8859-1")

@@ -8,6 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from .match import claims_browser
@@ -17,7 +18,7 @@ def header_order(headers: Column) -> Column:
     return F.transform(headers, lambda h: F.lower(h[0]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _blake2s8(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.blake2s(t.encode(), digest_size=8).hexdigest(), na_action="ignore")
 
@@ -51,7 +52,7 @@ def actor_id(key: bytes, ip: Column, ja4: Column, order_hash: Column) -> tuple[C
     """(actor, basis): a keyed hash of the address and the strongest fingerprint.  The key stays in the function, as a
     literal would show in plans."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def keyed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest()[:16], na_action="ignore")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 KINDS = ("request", "policy_read", "trap_hit", "identity", "hunt", "credential", "tls", "sensor")
 
 INDICATORS = "struct<wallets map<string,array<string>>, pools array<string>, urls array<string>, miners array<string>, downloaders array<string>, jndi variant, jndi_obfuscated boolean, shellshock boolean, metadata_ssrf boolean, decoded_layers int, url_decoded_layers int>"
@@ -28,5 +26,3 @@ web_attack string, stage boolean, persona string, scheme string, source string,
 port int, sni string, alpn array<string>, versions array<string>, handshake_ok boolean, error string,
 duration_ms double, first_bytes string, event string, origin string, pages bigint
 """
-
-EVENT = T._parse_datatype_string(FIELDS.replace("indicators struct", "indicators struct").replace("\n", " "))
