@@ -68,6 +68,9 @@ def profiles(log: DataFrame, rules: DataFrame) -> DataFrame:
     counts as null.  Sets come sorted; hot clients combine before each shuffle, and the lists per path, address and hash
     (`disallowed_fetches`, `refetches`, ...) exist as long tables too."""
     log = with_client(log)
+    for name, kind in (("conditional", "boolean"), ("content_hash", "string")):
+        if name not in log.columns:
+            log = log.withColumn(name, F.lit(None).cast(kind))
     has = set(log.columns)
     col = lambda name, kind="string": F.col(name) if name in has else F.lit(None).cast(kind)
     kind = F.col("kind")
