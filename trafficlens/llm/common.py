@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import components, materialise, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).  Only a session without one, such as a
-    local test, gets a new temporary folder."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+__all__ = ["SENT_ROWS", "components", "crc_mod", "materialise", "sent", "shared_dir", "table"]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back: cuts the lineage, outlives executors, and gives
-    the optimizer the true size for its choice of joins."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: A table of up to so many rows of a few numbers each (some 60 MB) may be sent to all executors.
@@ -45,23 +27,3 @@ def sent(df: DataFrame) -> DataFrame:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(0))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Distributed union-find: (a, b) links of any direction -> (node, root), root being the smallest node of its
-    component.  Each round offers the smallest label around a node to the node and to its root, then halves the paths,
-    so the rounds grow with the logarithm of the longest chain.  Hot nodes are safe: minima combine before a shuffle."""
-    edges = edges.where("a <> b")
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-    while True:
-        around = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        around = materialise(around.join(label, "node"))
-        offers = around.select("node", "offer").union(around.select("root", "offer"))
-        best = offers.groupBy("node").agg(F.min("offer").alias("offer"))
-        hooked = label.join(best, "node").select("node", F.col("root").alias("old"), F.least("root", "offer").alias("mid"))
-        up = label.select(F.col("node").alias("mid"), F.col("root").alias("up"))
-        new = materialise(hooked.join(up, "mid").select("node", "old", F.least("mid", "up").alias("root")))
-        label = new.select("node", "root")
-        if new.where("old <> root").isEmpty():
-            return label
