@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .. import rules as fixed
 from ..functions import match
 from ..functions.decode import deobfuscate_all, url_layers, valid_text
+from ..shared import materialise
 
 CAPS = {"pools": 10, "urls": 10, "miners": 1000, "downloaders": 5, "jndi": 5}
 WALLETS = 5
@@ -151,6 +152,8 @@ def scan(parts: DataFrame, own_host: str | None = None) -> DataFrame:
         downloaders(layers).alias("downloaders"), F.slice(found, 1, CAPS["jndi"]).alias("jndi"), ((F.size(found) > 0) & (F.size(plain) == 0)).alias("jndi_obfuscated"),
         shellshock(layers).alias("shellshock"), metadata_ssrf(layers).alias("metadata_ssrf"),
     )
+    # The scan is the costly part, and three branches read it.
+    every = materialise(every)
     # Wallets: distinct candidates are checked once.
     each = every.select("rid", "location", "key", "depth", "url_layers", F.posexplode("candidates").alias("i", "w")).select("rid", "location", "key", "depth", "url_layers", "i", "w.chain", "w.address")
     held = each.join(valid_wallets(each), ["chain", "address"], "left_semi")
