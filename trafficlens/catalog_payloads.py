@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .catalog import LOG, NOW, SESSION_SQL, Query, add, text
 from .functions import fingerprint, match
 from .functions.decode import url_layers
+from .functions.webapp import web_shape
 from .operators import actors, attacks, identity, indicators, profiles, sessions, traps
 from .operators import robots as robots_ops
 from .plans import derived, publish, report
@@ -176,3 +177,59 @@ def materialise_stream(df: DataFrame) -> DataFrame:
 
 
 add("S2_daily_counts", stream_days, "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS kind, count(*) AS events FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE GROUP BY 1, 2")
+
+
+def stream_log(spark: SparkSession, d: str) -> DataFrame:
+    return derived.log(spark, d, stream=True).withColumn("ts", F.col("ts").cast("timestamp")).drop("seq")
+
+
+def stream_stages(spark: SparkSession, d: str) -> DataFrame:
+    rises = materialise_stream(live.live_sessions(stream_log(spark, d)))
+    return rises.groupBy("actor").agg(F.max_by("stage", sessions.stage_rank(F.col("stage"))).alias("stage"))
+
+
+def stream_fetches(spark: SparkSession, d: str) -> DataFrame:
+    found = materialise_stream(live.live_read_fetch(stream_log(spark, d), stream_log(spark, d)))
+    return found.groupBy("token").agg(F.count("*").alias("pairs"), F.count_if(F.col("reader_ip") != F.col("fetcher_ip")).alias("split"))
+
+
+add("S5_live_stages", stream_stages, SESSION_SQL + "SELECT actor, stage_reached AS stage FROM sess")
+add("S6_read_fetch", stream_fetches, LOG + "SELECT r.token, count(*) AS pairs, count(*) FILTER (r.ip <> h.ip) AS split FROM log r JOIN log h ON r.token = h.token AND h.ts >= r.ts AND h.ts <= r.ts + INTERVAL 1 DAY WHERE r.kind = 'policy_read' AND h.kind = 'trap_hit' GROUP BY 1")
+
+# -- further expressions over fields that the log yields
+add("B11_persona", lambda spark, d: derived.log(spark, d).groupBy("kind", match.persona(F.lit(None).cast("string"), F.col("path")).alias("persona")).agg(F.count("*").alias("n")), LOG + "SELECT kind, CASE WHEN kind = 'hunt' THEN family ELSE 'site' END AS persona, count(*) AS n FROM log GROUP BY ALL")
+
+
+def header_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Signals and flags of the header names that the log implies."""
+    names = F.array_compact(F.array(F.lit("host"), F.lit("user-agent"), F.when(F.col("conditional"), F.lit("if-none-match")), F.when(F.col("event_id") % 2 == 0, F.lit("accept-encoding"))))
+    rows = requests(spark, d).withColumn("order", names)
+    flags = fingerprint.header_flags(F.col("order"))
+    found = rows.select(F.array_join(fingerprint.signals(F.col("ua"), F.col("order"), F.lit("1.1")), ",").alias("signals"), flags["conditional"].alias("conditional"), fingerprint.browser_score(F.col("order")).alias("score"))
+    return found.groupBy("signals", "conditional", "score").agg(F.count("*").alias("n"))
+
+
+add("C5_signals", header_fields, LOG + "SELECT array_to_string(list_filter([CASE WHEN ua_k = 5 THEN 'browser_claim_thin_headers' END, CASE WHEN ua_k = 10 THEN 'no_user_agent' END, CASE WHEN event_id % 2 = 1 THEN 'no_accept_encoding' END], lambda x: x IS NOT NULL), ',') AS signals, conditional, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS score, count(*) AS n FROM log WHERE kind = 'request' GROUP BY ALL")
+add("C11_web_shape", on_requests(lambda r: r.select(web_shape(F.lit("GET"), F.col("path"), F.col("raw_query"), F.lit(None).cast("string"), F.col("body")).alias("w")).groupBy(F.col("w.kind").alias("shape"), F.array_join("w.mitre", ",").alias("mitre")).agg(F.count("*").alias("n"))), LOG + "SELECT CASE WHEN raw_query IS NULL THEN 'browse' WHEN pay_k = 0 THEN 'sqli' WHEN pay_k = 1 THEN 'path_traversal' ELSE 'browse' END AS shape, CASE WHEN raw_query IS NULL THEN '' WHEN pay_k = 0 THEN 'T1190' WHEN pay_k = 1 THEN 'T1083,T1006' ELSE '' END AS mitre, count(*) AS n FROM log WHERE kind = 'request' GROUP BY ALL")
+add("C15_trap_token", lambda spark, d: derived.log(spark, d).select("event_id", match.trap_token(F.concat(F.lit("/internal/"), F.lpad(F.col("event_id").cast("string"), 24, "0"), F.when(F.col("event_id") % 2 == 0, F.lit("_-")).otherwise(F.lit("")), F.lit("/x.html"))).alias("token")), LOG + "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN lpad(CAST(event_id AS VARCHAR), 24, '0') || '_-' END AS token FROM log")
+
+
+def hellos(spark: SparkSession, d: str) -> DataFrame:
+    """JA4 of TLS hellos whose second cipher varies with the event."""
+    c = F.array(F.lit(0x1301), F.lit(0x0A0A), (F.lit(0x1302) + F.col("event_id") % 3).cast("int"))
+    ja4 = fingerprint.ja4(c, F.array(F.lit(16), F.lit(43)), F.array().cast("array<int>"), F.array(F.lit("h2")), F.lit(None).cast("string"), F.array(F.lit(0x0304)), F.lit(0x0303))
+    return derived.log(spark, d).groupBy(ja4.alias("ja4")).agg(F.count("*").alias("n"))
+
+
+add("C20_ja4", hellos, LOG + "SELECT 't13i0202h2_' || substr(sha256('1301,130' || (2 + event_id % 3)), 1, 12) || '_' || substr(sha256('002b'), 1, 12) AS ja4, count(*) AS n FROM log GROUP BY 1")
+
+
+def robots_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of one robots text per user of the log."""
+    u = F.col("user_id").cast("string")
+    files = derived.log(spark, d).select(F.concat(F.lit("f"), u).alias("file_id"), F.concat(F.lit("# of "), u, F.lit("\nUser-agent: bot"), u, F.lit("\nUser-Agent: *\nDisallow: /p"), u, F.lit(" # no\n\nAllow:/\n")).alias("text")).distinct()
+    return robots_ops.parse_robots(files)
+
+
+add("F1_parse_robots", robots_texts, LOG + ", f AS (SELECT DISTINCT user_id AS u FROM log) SELECT 'f' || u AS file_id, 1 AS group_id, agent, directive, CASE directive WHEN 'allow' THEN '/' ELSE '/p' || u END AS pattern FROM (SELECT u, unnest(['bot' || u, '*']) AS agent FROM f), (VALUES ('allow'), ('disallow')) v(directive)")
+add("A1_kinds", lambda spark, d: derived.log(spark, d).where(F.col("kind").isin("request", "hunt")).select("kind", "event_id"), LOG + "SELECT kind, event_id FROM log WHERE kind IN ('request', 'hunt')")

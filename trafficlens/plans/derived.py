@@ -66,18 +66,20 @@ JOIN pay_dim q ON q.pay_k = e.event_id % 7)
 """
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if stream:
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     return spark.sql(DERIVED.replace("FROM events e", "FROM {events} e") + " SELECT * FROM derived", events=events)
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived log in the shape of the event log: each kind has only its own fields.
+def log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """The derived log in the shape of the event log: each kind has only its own fields.  With `stream`, a stream of it.
 
     Order is (ts, event_id), in one sortable column `seq`.  JA4 and similar names, which the table doesn't have, are
     derived from user_id and event_id.
     """
-    d = derived(spark, sf_dir).withColumn("seq", F.struct("ts", "event_id"))
+    d = derived(spark, sf_dir, stream).withColumn("seq", F.struct("ts", "event_id"))
     c = match.crawler(F.col("ua"))
     of = lambda *kinds: F.col("kind").isin(*kinds)
     only = lambda value, *kinds: F.when(of(*kinds), value)
