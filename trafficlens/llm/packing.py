@@ -164,7 +164,8 @@ def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, tokenize
                 for first, length, seq, offset in pieces(plan, place[source[i]], base[i] + start[i], len(ids), runs):
                     out.append((first, length, zlib.crc32(ids[first : first + length].tobytes()), len(ids), seq, offset))
                     row.append(i)
-            took = batch.take(pa.array(row, pa.int64()))
+            # Only the small columns: the ids of a long document would come once per piece.
+            took = batch.select(["doc_id", "source"]).take(pa.array(row, pa.int64()))
             columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)]
             yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("source"), *columns], names=schema.names)
 
