@@ -54,12 +54,12 @@ def test_identify(spark):
     en = "the house and the garden with some other people walking there"
     de = "das haus und der garten mit einigen anderen leuten die dort gehen"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", "x") for i in range(40)]
-    odd = [(100, None, None, "x"), (101, "", None, "x"), (102, "123 ...", None, "x"), (103, "THE PEOPLE " * 20_000, None, "x"), (104, "der garten", None, "x"), (104, "der garten", None, "x"), (None, "die leuten", None, "x")]
+    odd = [(100, None, None, "x"), (101, "", None, "x"), (102, "123 ...", None, "x"), (105, "½ ①", None, "x"), (106, "½ ①²", None, "x"), (103, "THE PEOPLE " * 20_000, None, "x"), (104, "der garten", None, "x"), (104, "der garten", None, "x"), (None, "die leuten", None, "x")]
     docs = spark.createDataFrame(rows + odd, SCHEMA)
     got = identify(docs, docs).collect()
     assert len(got) == len(rows) + len(odd)
     by = {r.doc_id: r for r in got}
-    assert [by[i].lang_pred for i in (100, 101, 102, 103, 104)] == ["und", "und", "und", "en", "de"]
+    assert [by[i].lang_pred for i in (100, 101, 102, 105, 106, 103, 104)] == ["und"] * 5 + ["en", "de"]
     assert all(0 <= r.score <= 1 for r in got) and by[100].score == 0
     assert all(by[i].lang_pred == ("en" if i % 2 else "de") for i in range(40))
     empty = spark.createDataFrame([], SCHEMA)

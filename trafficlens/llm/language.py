@@ -36,7 +36,8 @@ CACHE = 300_000
 
 
 def words_of(text: str) -> list[str]:
-    return _NO_LETTERS.sub(" ", text.lower()).split()
+    """Runs of letters; number signs such as a superscript or a fraction make no word by themselves."""
+    return [w for w in _NO_LETTERS.sub(" ", text.lower()).split() if w.isalpha() or any(map(str.isalpha, w))]
 
 
 class Vocabulary:
