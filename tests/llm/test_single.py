@@ -3,9 +3,10 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trafficlens.llm.mixing import mix
+from trafficlens.llm.mixing import RANGES, mix, range_of
 from trafficlens.llm.tool_calls import SCHEMA, link_calls, message_calls
 from trafficlens.llm.topk import top_k, valid_vectors
 from trafficlens.llm.url_filter import RULES, Rule, judge_urls
@@ -114,3 +115,12 @@ def test_pipeline(spark):
     assert total // 2048 <= len({r.sequence_id for r in out}) <= total // 2048 + 11
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     assert sum(labels.get(i, 1) == 0 for i in ids) <= 0.02 * len(ids)
+
+
+def test_ranges_rise_with_keys_and_stay_small(spark):
+    for weight in (0.1, 0.15, 0.3, 0.55, 1.0):
+        key = -F.ln((F.col("id") + 0.5) / 200_000) / weight
+        rows = spark.range(200_000).select(key.alias("key"), range_of(key).alias("range"))
+        held = rows.groupBy("range").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("range").collect()
+        assert max(r.n for r in held) <= 200_000 * 12 / RANGES
+        assert all(a.high <= b.low for a, b in zip(held, held[1:], strict=False))

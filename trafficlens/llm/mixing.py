@@ -15,6 +15,9 @@ from .common import materialise, table
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Ranges of the keys of one source: a source is summed by range, and only the range where its budget ends is sorted.
 RANGES = 4096
+#: Rates of the exponentials whose mean distribution cuts the ranges: whatever weights prevail in a source, a range holds
+#: at most some 10 / RANGES of it.
+RATES = (0.1, 0.2, 0.4, 0.7, 1.0)
 #: Copies of a source's row in the join, so that the rows of a hot source spread over as many tasks.
 SALTS = 64
 
@@ -35,6 +38,12 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def range_of(key: Column) -> Column:
+    """Which of RANGES ranges a key lies in, rising with the key."""
+    past = sum((F.exp(key * -rate) for rate in RATES), F.lit(0.0)) / float(len(RATES))
+    return F.floor((1 - past) * RANGES).cast("int")
+
+
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
     """(source, source_size) -> with target.  Sources by code point, null last, weigh `weights`, repeating, and share
     `share` of all sizes; a target stops at `most` times its source's size, and the excess is reshared by weight.
@@ -74,7 +83,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
         docs.select("doc_id", "source", n.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
         .withColumn("weight", quality_weight(F.col("size"), F.col("chars")))
         .withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("weight"))
-        .withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
+        .withColumn("range", range_of(F.col("key")))
     )
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     sizes = by_range.groupBy("source").agg(F.sum("n").alias("source_size"))
