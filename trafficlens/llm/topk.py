@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, table
+from .common import materialise, meet, sent, table
 
 #: Vectors of a bucket and queries of a block: what one task holds at once.
 BUCKET_ROWS, BLOCK_ROWS = 4096, 512
@@ -121,30 +121,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     # Buckets: geometric ranges of length, cut further where a range is crowded.
     crowd = rows.withColumn("part", F.coalesce(F.floor(F.ln("norm") * RANGES_PER_E), F.lit(-1 << 30)))
-    counts = crowd.groupBy("dim", "part").agg(F.count("*").alias("n"))
+    counts = sent(materialise(crowd.groupBy("dim", "part").agg(F.count("*").alias("n"))))
     crowd = crowd.join(counts, ["dim", "part"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BUCKET_ROWS)).cast("int"))
-    buckets = materialise(crowd.groupBy("dim", "part", "sub").applyInPandas(lambda key, pdf: _pack(pdf).assign(bucket=f"{key[1]}.{key[2]}"), "ids binary, m binary, dim int, top double, bucket string"))
+    buckets = materialise(crowd.repartition("dim", "part", "sub").groupBy("dim", "part", "sub").applyInPandas(lambda key, pdf: _pack(pdf).assign(bucket=f"{key[1]}.{key[2]}"), "ids binary, m binary, dim int, top double, bucket string"))
 
     # A first bound for each query: its k-th score in the bucket of the longest vectors of its dimension.
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_queries // BLOCK_ROWS)))).cast("int"))
 
     def packed(qs: DataFrame, bound: str) -> DataFrame:
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             m = np.stack(pdf["v"].to_numpy()).astype("<i8")
-            return pd.DataFrame({"qids": [pdf["id"].to_numpy("<i8").tobytes()], "qm": [m.tobytes()], "bounds": [pdf[bound].to_numpy("<f8").tobytes()], "qdim": [m.shape[1]], "slack": [(pdf[bound] / np.maximum(pdf["norm"], 1e-300)).min()]})
+            return pd.DataFrame({"dim": [key[0]], "block": key[1], "qids": [pdf["id"].to_numpy("<i8").tobytes()], "qm": [m.tobytes()], "bounds": [pdf[bound].to_numpy("<f8").tobytes()], "slack": [(pdf[bound] / np.maximum(pdf["norm"], 1e-300)).min()]})
 
-        return qs.groupBy("dim", "block").applyInPandas(pack, "qids binary, qm binary, bounds binary, qdim int, slack double")
+        return materialise(qs.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, qm binary, bounds binary, slack double"))
+
+    def searched(asked: DataFrame, of: DataFrame) -> DataFrame:
+        """A block skips the buckets whose longest vector is too short for all its queries."""
+        pairs = asked.select("dim", "block", "slack").join(of.select("dim", "bucket", "top"), "dim").where(F.col("slack") <= F.col("top") * (1 + 1e-9))
+        pairs = materialise(pairs.select("dim", "block", "bucket"))
+        return meet(pairs, asked, ["dim", "block"], of, ["dim", "bucket"]).mapInPandas(_searcher(k), PAIRS)
 
     longest = buckets.groupBy("dim").agg(F.max_by("bucket", F.struct("top", "bucket")).alias("bucket"))
     first = buckets.join(longest, ["dim", "bucket"])
-    seed = packed(blocks.withColumn("bound", F.lit(float("-inf"))), "bound").join(first, F.col("qdim") == F.col("dim"))
-    seeds = materialise(seed.mapInPandas(_searcher(k), PAIRS))
+    seeds = materialise(searched(packed(blocks.withColumn("bound", F.lit(float("-inf"))), "bound"), first))
     bounds = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("bound"))
     bounded = blocks.join(bounds.withColumnRenamed("query_id", "id"), "id", "left").fillna(float("-inf"), ["bound"])
-    # A stated query set against all rows, in blocks; a block skips the buckets whose longest vector is too short.
+    # A stated query set against all rows, in blocks.
     others = buckets.join(longest, ["dim", "bucket"], "left_anti")
-    meet = packed(bounded, "bound").join(others, (F.col("qdim") == F.col("dim")) & (F.col("slack") <= F.col("top") * (1 + 1e-9)))
-    found = seeds.union(meet.repartition(F.col("bucket"), F.hash("qids")).mapInPandas(_searcher(k), PAIRS))
+    found = seeds.union(searched(packed(bounded, "bound"), others))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
