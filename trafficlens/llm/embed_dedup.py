@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, materialise, meet, sent, table
 
 PROJECTIONS = 24
 #: Directions by which the vectors are also dealt into cells; a pair must lie in the same or adjoining cells.
@@ -135,21 +135,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     kind = vectors.schema["label"].dataType.simpleString()
     dealt = materialise(copies.select("label", "id", "times", "e").mapInPandas(cells, f"label {kind}, dim int, x int, y int, id long, times long, u binary"))
-    counts = dealt.groupBy("label", "dim", "x", "y").agg(F.count("*").alias("n"))
-    dealt = dealt.join(counts, ["label", "dim", "x", "y"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
+    cell = ["label", "dim", "x", "y"]
+    counts = sent(materialise(dealt.groupBy(*cell).agg(F.count("*").alias("n"))))
+    dealt = dealt.join(counts, cell).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         return pd.DataFrame({"label": [key[0]], "dim": key[1], "x": key[2], "y": key[3], "block": f"{key[2]}.{key[3]}.{key[4]}", "ids": pdf["id"].to_numpy("<i8").tobytes(), "times": pdf["times"].to_numpy("<i8").tobytes(), "m": b"".join(pdf["u"])})
 
-    blocks = materialise(dealt.groupBy("label", "dim", "x", "y", "sub").applyInPandas(pack, f"label {kind}, dim int, x int, y int, block string, ids binary, times binary, m binary"))
+    blocks = materialise(dealt.repartition(*cell, "sub").groupBy(*cell, "sub").applyInPandas(pack, f"label {kind}, dim int, x int, y int, block string, ids binary, times binary, m binary"))
     # Each pair of adjoining cells once: the cell itself, and half of its neighbours.
     near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    left = blocks.withColumn("d", F.explode(near)).withColumn("x", F.col("x") + F.col("d.dx")).withColumn("y", F.col("y") + F.col("d.dy"))
-    right = blocks.select("label", "dim", "x", "y", *(F.col(c).alias(f"{c}2") for c in ("block", "ids", "times", "m")))
-    pairs = left.join(right, ["label", "dim", "x", "y"]).where("d.dx <> 0 or d.dy <> 0 or block <= block2")
-    pairs = pairs.repartition(F.col("label"), F.col("block"), F.col("block2"))
-    found = materialise(pairs.select("block", "ids", "times", "m", "block2", "ids2", "times2", "m2").mapInPandas(_compare(threshold), "id long, n long, root long"))
+    names = blocks.select(*cell, "block")
+    around = names.withColumn("d", F.explode(near)).withColumn("x", F.col("x") + F.col("d.dx")).withColumn("y", F.col("y") + F.col("d.dy"))
+    pairs = around.join(names.withColumnRenamed("block", "block2"), cell).where("d.dx <> 0 or d.dy <> 0 or block <= block2")
+    pairs = materialise(pairs.select("label", "dim", "block", "block2"))
+    left = blocks.drop("x", "y")
+    right = blocks.select("label", "dim", *(F.col(c).alias(f"{c}2") for c in ("block", "ids", "times", "m")))
+    both = meet(pairs, left, ["label", "dim", "block"], right, ["label", "dim", "block2"])
+    found = materialise(both.select("block", "ids", "times", "m", "block2", "ids2", "times2", "m2").mapInPandas(_compare(threshold), "id long, n long, root long"))
 
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
