@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, sent, table
+from .common import components, materialise, meet, sent, table
 
 WORDS = 5
 #: 25 bands of 5 values: a pair at similarity 0.8 shares no band with probability 5e-5.
@@ -294,8 +294,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     large = found.where(F.col("size") > BLOCK_ROWS).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int"))
     blocks = materialise(large.select("family", "sub", "id", "sig", "shingles").groupBy("family", "sub").applyInPandas(_block, "family long, block int, ids binary, sigs binary, sizes binary, sets binary"))
     other = blocks.select("family", *(F.col(c).alias(f"{c}2") for c in ("block", "ids", "sigs", "sizes", "sets")))
-    meet = blocks.join(other, "family").where("block <= block2").repartition(F.col("family"), F.col("block"), F.col("block2"))
-    in_blocks = meet.drop("family").mapInPandas(_blocks(threshold), SUMMARY)
+    names = blocks.select("family", "block")
+    pairs = materialise(names.join(names.withColumnRenamed("block", "block2"), "family").where("block <= block2"))
+    in_blocks = meet(pairs, blocks, ["family", "block"], other, ["family", "block2"]).drop("family").mapInPandas(_blocks(threshold), SUMMARY)
 
     links = materialise(in_bins.union(in_blocks))
     roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
