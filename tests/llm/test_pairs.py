@@ -120,6 +120,23 @@ def test_line_dedup(spark):
     assert got[0].fp == "y" and dedup_lines(docs(spark, [])).collect() == []
 
 
+def test_crowded_lines(spark):
+    """Lines of one frame, which share buckets of far more than SMALL lines, hold chains of near copies."""
+    rng, table = random.Random(7), []
+    frame = words(rng, 24)
+    for family in range(80):
+        own = words(rng, 16)
+        for k in range(4 if family % 2 else 1):
+            own[3 * k] = words(rng, 1)[0]
+            table.append((family, " ".join(frame + own)))
+    rng.shuffle(table)
+    got = dedup_lines(docs(spark, [(i, t) for i, (_, t) in enumerate(table)])).where("n_kept = 1").collect()
+    first = {}
+    for i, (family, _) in enumerate(table):
+        first.setdefault(family, i)
+    assert sorted(r.doc_id for r in got) == sorted(first.values())
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, component_id string, x string"
 
 

@@ -22,13 +22,18 @@ PATTERN = r"(?s)(?<![\p{Lu}\p{Ll}])(?=(\S.{0,%d}))" % (SHINGLE - 1)
 #: Bands of two values: a pair at similarity 0.8 shares no band with probability 0.002.
 BANDS, BAND = 6, 2
 THRESHOLD = 0.8
-#: Buckets of up to so many lines give all their pairs; in larger ones each line is paired with the two outermost keys.
+#: Buckets of up to so many lines give all their pairs; the lines of larger ones meet again in finer bands.
 SMALL = 8
+#: Finer bands for the lines of large buckets: a pair at similarity 0.8 shares none with probability 0.0007.
+FINE_BANDS, FINE_BAND = 24, 6
+#: Members of a large bucket that one salt holds.
+SALTED = 256
 SALTS = 16
 
 _random = random.Random(6)
 #: Each mask gives two random orders of the shingles, by its least and its greatest hash.
 _MASKS = [_random.getrandbits(63) for _ in range(BANDS * BAND // 2)]
+_FINE_MASKS = [_random.getrandbits(63) for _ in range(FINE_BANDS * FINE_BAND)]
 
 
 def _masked(mask: int) -> Callable[[Column], Column]:
@@ -49,22 +54,8 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "dk", "no", line_of(F.col("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
 
 
-def candidate_pairs(unique: DataFrame) -> DataFrame:
-    """unique: fp, b0.. (bands) -> distinct pairs a < b of lines that share a band."""
-    bands = F.array(*(F.col(f"b{k}") for k in range(BANDS)))
-    members = unique.where("b0 is not null").select("fp", F.explode(bands).alias("bucket"))
-    full = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = materialise(members.join(full, "bucket"))
-    small = members.where(F.col("size") <= SMALL)
-    all_pairs = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = members.where(F.col("size") > SMALL)
-    to_low = large.select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    to_high = large.select(F.col("fp").alias("a"), F.col("high").alias("b"))
-    return all_pairs.union(to_low).union(to_high).where("a < b").distinct()
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """fp, root: for every line that has a copy or a near copy, the key of its component."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """fp, n (how often the line occurs), b0.. (keys of its bands)."""
     # Two equal hashes under a mask are minima of the same random order of the shingles.
     h = lines(docs).withColumn("h", shingle_hashes(F.col("line")))
     # Each masked column is named twice: named once, its expression would move to where it is used and h be hashed anew.
@@ -72,17 +63,90 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ends = [end(f"m{i}").alias(f"s{2 * i + j}") for i in range(len(_MASKS)) for j, end in enumerate((F.array_min, F.array_max))]
     signed = masked.select("fp", *ends)
     band = [F.when(F.col("s0").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"s{k * BAND + i}") for i in range(BAND)))).alias(f"b{k}") for k in range(BANDS)]
-    unique = signed.select("fp", *band).groupBy("fp").agg(F.count("*").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
-    unique = materialise(unique)
+    return signed.select("fp", *band).groupBy("fp").agg(F.count("*").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
+
+
+def crowded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members: fp, bucket -> (distinct pairs a < b of lines that share a bucket of up to SMALL lines; the members of
+    larger buckets with the bucket's low, high and size)."""
+    full = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("size")).where("low < high")
+    members = materialise(members.join(full, "bucket"))
+    small = members.where(F.col("size") <= SMALL)
+    pairs = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
+    return pairs, members.where(F.col("size") > SMALL)
+
 
-    pairs = materialise(candidate_pairs(unique))
-    wanted = sent(materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+def outermost(members: DataFrame) -> DataFrame:
+    """Each member of a large bucket with the bucket's two outermost keys: a few links that join most of a dense bucket,
+    besides those of the finer buckets."""
+    to_low = members.select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    return to_low.union(members.select(F.col("fp").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
+
+
+def fine_bands(h: Column) -> Column:
+    """The keys of FINE_BANDS further bands, of orders of the shingles independent of the first ones."""
+    masks = F.array(*(F.lit(m) for m in _FINE_MASKS))
+    least = F.transform(masks, lambda m: F.array_min(F.transform(h, lambda x: F.xxhash64(m, x))))
+    return F.transform(F.sequence(F.lit(0), F.lit(FINE_BANDS - 1)), lambda k: F.xxhash64(k, F.slice(least, k * FINE_BAND + 1, FINE_BAND)))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line, size."""
+    left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    common = F.size(F.array_intersect(shingle_hashes(F.col("la")), shingle_hashes(F.col("lb"))))
+    return both.withColumn("c", common).where(F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+
+def across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs a < b of members of one large bucket that the links so far leave in different components.  The members
+    of a bucket are spread by salt on one side and go to all its salts on the other."""
+    rooted = members.select("bucket", "fp", "size").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialise(rooted)
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    rooted = materialise(rooted.join(open_, "bucket"))
+    salts = F.ceil(F.col("size") / SALTED)
+    left = rooted.select("bucket", F.pmod(F.xxhash64("fp"), salts).alias("salt"), F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = rooted.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("fp").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, ["bucket", "salt"]).where("a < b and ra <> rb").select("a", "b").distinct()
+
+
+def near_pairs(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the components of lines at the threshold.  unique: fp, b0.. (bands).
+
+    Lines of one shingle set are gathered.  Small buckets give all their pairs.  The lines of large ones get finer bands,
+    whose small buckets give all their pairs too; in those that are large even so, the members that the links have not
+    joined yet are all compared with each other.  So no bucket is cut, and one dense family is no square of pairs."""
+    bands = F.array(*(F.col(f"b{k}") for k in range(BANDS)))
+    members = unique.where("b0 is not null").select("fp", F.explode(bands).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("bucket")
+    members = materialise(members.join(shared, "bucket"))
+    wanted = sent(materialise(members.select("fp").distinct()))
     found = lines(docs).join(wanted, "fp").select("fp", "line").dropDuplicates(["fp"])
-    sets = materialise(found.select("fp", F.array_distinct(shingle_hashes(F.col("line"))).alias("s")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.withColumn("c", common).where(F.col("c") >= threshold * (F.size("sa") + F.size("sb") - F.col("c")))
-    roots = components(links.select("a", "b"))
+    found = found.withColumn("s", F.array_distinct(shingle_hashes(F.col("line")))).select("fp", "line", F.size("s").alias("size"), F.xxhash64(F.sort_array("s")).alias("set"))
+    texts = materialise(found)
+
+    first = texts.groupBy("set").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    same = materialise(texts.join(first, "set").select(F.col("low").alias("a"), F.col("fp").alias("b")).where("a < b"))
+    members = members.join(same.select(F.col("b").alias("fp")), "fp", "left_anti")
+    pairs, large = crowded(members)
+    many = materialise(large.select("fp").distinct())
+    fine = texts.join(many, "fp").withColumn("h", F.array_distinct(shingle_hashes(F.col("line")))).select("fp", F.explode(fine_bands(F.col("h"))).alias("bucket"))
+    fine_pairs, dense = crowded(materialise(fine))
+    pairs = materialise(pairs.union(outermost(large)).union(fine_pairs).union(outermost(dense)).distinct())
+    links = materialise(same.union(verified(pairs, texts, threshold)))
+    roots = components(links)
+    if dense.isEmpty():
+        return roots
+    rest = materialise(across(dense, roots).join(pairs, ["a", "b"], "left_anti"))
+    more = materialise(verified(rest, texts, threshold))
+    return roots if more.isEmpty() else components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """fp, root: for every line that has a copy or a near copy, the key of its component."""
+    unique = materialise(signatures(docs))
+    roots = near_pairs(unique, docs, threshold)
     copied = unique.where("n > 1").select("fp")
     return copied.join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
 
