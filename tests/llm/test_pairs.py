@@ -137,6 +137,26 @@ def test_crowded_lines(spark):
     assert sorted(r.doc_id for r in got) == sorted(first.values())
 
 
+def test_line_shingles_at_every_place(spark):
+    """Short lines with one typo and runs of letters without a space, against all shingles of five characters."""
+    rng, table = random.Random(8), []
+    for _ in range(60):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rng.randrange(50, 90))).strip(" ")
+        at = rng.randrange(8, len(line) - 8)
+        table += [line, line[:at] + "#" + line[at + 1 :]]
+    for start in ("acgtacgtacgtacgt", "qwertyuiopasdfgh", "日本語の行ですとても長い"):
+        table += [start + "".join(rng.choice("acgtnmrw") for _ in range(120)) for _ in range(4)]
+    every = sorted(set(table))
+    sets = {ln: {ln[i : i + 5] for i in range(max(1, len(ln) - 4))} for ln in every}
+    root = roots(every, [(a, b) for a, b in itertools.combinations(every, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    rng.shuffle(table)
+    first = {}
+    for i, ln in enumerate(table):
+        first.setdefault(root[ln], i)
+    got = dedup_lines(docs(spark, list(enumerate(table)))).where("n_kept = 1").collect()
+    assert sorted(r.doc_id for r in got) == sorted(first.values()) and 12 < len(first) < len(table) - 40
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, component_id string, x string"
 
 

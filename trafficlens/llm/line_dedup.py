@@ -1,7 +1,7 @@
 """Operator 6 [native]: fuzzy line deduplication by MinHash.
 
-Every line has character shingles (the characters that follow the start of each word) and a signature over them; lines
-that share a band are candidates, verified by the exact Jaccard similarity of their shingle sets.  Components of the
+Every line has character shingles (those of five characters at every position) and a signature over them; lines that
+share a band are candidates, verified by the exact Jaccard similarity of their shingle sets.  Components of the
 verified links come from distributed union-find, and the first line of each component stays.
 """
 
@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import components, materialise, sent, table
 
-#: Characters of a shingle.  Shingles start at what is no white space and does not follow a cased letter: at words, and
-#: in scripts without word marks at every character.
-SHINGLE = 12
-PATTERN = r"(?s)(?<![\p{Lu}\p{Ll}])(?=(\S.{0,%d}))" % (SHINGLE - 1)
+#: Characters of a shingle.  Shingles start at every character, in all scripts; a shorter line is one shingle.
+SHINGLE = 5
 #: Bands of two values: a pair at similarity 0.8 shares no band with probability 0.002.
 BANDS, BAND = 6, 2
 THRESHOLD = 0.8
@@ -33,19 +31,33 @@ SALTS = 16
 _random = random.Random(6)
 #: Each mask gives two random orders of the shingles, by its least and its greatest hash.
 _MASKS = [_random.getrandbits(63) for _ in range(BANDS * BAND // 2)]
-_FINE_MASKS = [_random.getrandbits(63) for _ in range(FINE_BANDS * FINE_BAND)]
-
-
-def _masked(mask: int) -> Callable[[Column], Column]:
-    return lambda x: x.bitwiseXOR(F.lit(mask))
 
 
 def line_of(raw: Column) -> Column:
     return F.lower(F.trim(raw))
 
 
+def starts(line: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
+
+
+def characters(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is found without counting from the line's start."""
+    return F.encode(line, "UTF-32")
+
+
+def shingle_at(wide: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(wide, start * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row: inlined in a lambda, it would be computed for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def shingle_hashes(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(PATTERN), F.lit(1)), lambda x: F.xxhash64(x))
+    last = lambda wide: F.greatest(F.octet_length(wide) / 4 - SHINGLE, F.lit(0)).cast("int")
+    return once(characters(line), lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: shingle_at(wide, i)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -54,16 +66,35 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "dk", "no", line_of(F.col("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
 
 
+def order_ends() -> list[Column]:
+    """Two equal hashes under a mask are ends of the same random order of the shingles."""
+    h = F.col("h")
+    return [end(h.bitwiseXOR(F.lit(c))).alias(f"s{2 * i + j}") for i, c in enumerate(_MASKS) for j, end in enumerate((F.min, F.max))]
+
+
+def band_keys(bands: int, band: int, *salt: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), *salt, *(F.col(f"s{k * band + i}") for i in range(band))).alias(f"b{k}") for k in range(bands)]
+
+
+def shingles(texts: DataFrame) -> DataFrame:
+    """texts: fp, line -> fp, i, h: a row per shingle and its place, so that all that is computed of it is compiled."""
+    wide = texts.select("fp", characters(F.col("line")).alias("wide"), starts(F.col("line")).alias("starts"))
+    return wide.select("fp", "wide", F.explode("starts").alias("i")).select("fp", "i", shingle_at(F.col("wide"), F.col("i")).alias("h"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """fp, n (how often the line occurs), b0.. (keys of its bands)."""
-    # Two equal hashes under a mask are minima of the same random order of the shingles.
-    h = lines(docs).withColumn("h", shingle_hashes(F.col("line")))
-    # Each masked column is named twice: named once, its expression would move to where it is used and h be hashed anew.
-    masked = h.select("fp", *(F.transform("h", _masked(c)).alias(f"m{i}") for i, c in enumerate(_MASKS)))
-    ends = [end(f"m{i}").alias(f"s{2 * i + j}") for i in range(len(_MASKS)) for j, end in enumerate((F.array_min, F.array_max))]
-    signed = masked.select("fp", *ends)
-    band = [F.when(F.col("s0").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"s{k * BAND + i}") for i in range(BAND)))).alias(f"b{k}") for k in range(BANDS)]
-    return signed.select("fp", *band).groupBy("fp").agg(F.count("*").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
+    signed = shingles(lines(docs).select("fp", "line")).groupBy("fp").agg(F.count_if(F.col("i") == 0).alias("n"), *order_ends())
+    return signed.select("fp", "n", *band_keys(BANDS, BAND))
+
+
+def fine_members(texts: DataFrame) -> DataFrame:
+    """texts: fp, line -> fp, bucket: the keys of FINE_BANDS further bands, of orders independent of the first ones."""
+    per = BANDS * BAND // FINE_BAND
+    seeds = F.explode(F.sequence(F.lit(1), F.lit(FINE_BANDS // per))).alias("seed")
+    mixed = shingles(texts).select("fp", "h", seeds).select("fp", "seed", F.xxhash64("h", "seed").alias("h"))
+    signed = mixed.groupBy("fp", "seed").agg(*order_ends())
+    return signed.select("fp", F.explode(F.array(*band_keys(per, FINE_BAND, F.col("seed")))).alias("bucket"))
 
 
 def crowded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,19 +114,12 @@ def outermost(members: DataFrame) -> DataFrame:
     return to_low.union(members.select(F.col("fp").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
 
 
-def fine_bands(h: Column) -> Column:
-    """The keys of FINE_BANDS further bands, of orders of the shingles independent of the first ones."""
-    masks = F.array(*(F.lit(m) for m in _FINE_MASKS))
-    least = F.transform(masks, lambda m: F.array_min(F.transform(h, lambda x: F.xxhash64(m, x))))
-    return F.transform(F.sequence(F.lit(0), F.lit(FINE_BANDS - 1)), lambda k: F.xxhash64(k, F.slice(least, k * FINE_BAND + 1, FINE_BAND)))
-
-
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line, size."""
     left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     common = F.size(F.array_intersect(shingle_hashes(F.col("la")), shingle_hashes(F.col("lb"))))
-    return both.withColumn("c", common).where(F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    return both.where(once(common, lambda c: c >= threshold * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
 def across(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -116,9 +140,10 @@ def near_pairs(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFram
 
     Lines of one shingle set are gathered.  Small buckets give all their pairs.  The lines of large ones get finer bands,
     whose small buckets give all their pairs too; in those that are large even so, the members that the links have not
-    joined yet are all compared with each other.  So no bucket is cut, and one dense family is no square of pairs."""
+    joined yet are all compared with each other.  So no bucket is cut, and a family that the links have joined is no square
+    of pairs; lines of a large bucket that stay apart are."""
     bands = F.array(*(F.col(f"b{k}") for k in range(BANDS)))
-    members = unique.where("b0 is not null").select("fp", F.explode(bands).alias("bucket"))
+    members = unique.select("fp", F.explode(bands).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("bucket")
     members = materialise(members.join(shared, "bucket"))
     wanted = sent(materialise(members.select("fp").distinct()))
@@ -131,8 +156,7 @@ def near_pairs(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFram
     members = members.join(same.select(F.col("b").alias("fp")), "fp", "left_anti")
     pairs, large = crowded(members)
     many = materialise(large.select("fp").distinct())
-    fine = texts.join(many, "fp").withColumn("h", F.array_distinct(shingle_hashes(F.col("line")))).select("fp", F.explode(fine_bands(F.col("h"))).alias("bucket"))
-    fine_pairs, dense = crowded(materialise(fine))
+    fine_pairs, dense = crowded(materialise(fine_members(texts.join(many, "fp").select("fp", "line"))))
     pairs = materialise(pairs.union(outermost(large)).union(fine_pairs).union(outermost(dense)).distinct())
     links = materialise(same.union(verified(pairs, texts, threshold)))
     roots = components(links)
