@@ -86,8 +86,8 @@ def test_pruning_keeps_true_pairs():
 
 
 def shingles(line):
-    """Twelve characters from each place that starts a word."""
-    return {line[i : i + SHINGLE] for i, c in enumerate(line) if not c.isspace() and not (i and line[i - 1].isalpha() and (line[i - 1].isupper() or line[i - 1].islower()))}
+    """Five characters from every place."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def test_line_dedup(spark):
@@ -157,6 +157,34 @@ def test_line_shingles_at_every_place(spark):
     assert sorted(r.doc_id for r in got) == sorted(first.values()) and 12 < len(first) < len(table) - 40
 
 
+def test_line_recall_in_templates(spark):
+    """600 lines of one 40-word template: each pair has six words of its own, and its two lines differ in one more."""
+    rng, table = random.Random(9), []
+    frame = words(rng, 40)
+    for _ in range(300):
+        own = list(frame)
+        for at in rng.sample(range(40), 6):
+            own[at] = words(rng, 1)[0]
+        other = list(own)
+        other[rng.randrange(40)] = words(rng, 1)[0]
+        table += [" ".join(own), " ".join(other)]
+    sets = [shingles(ln) for ln in table]
+    links = [(a, b) for a, b in itertools.combinations(range(600), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = roots(range(600), links)
+    got = {r.doc_id for r in dedup_lines(docs(spark, list(enumerate(table)))).where("n_kept = 1").collect()}
+    want = {r for r in root.values()}
+    assert want <= got and len(got) - len(want) <= 0.01 * (600 - len(want)) and len(links) >= 300
+
+
+def test_line_columns(spark):
+    """Columns named like the operator's own, and none but those it needs."""
+    rows = [(1, "a line of text\nanother line", 5, 6, [1], 7), (2, "a line of text", 5, 6, [1], 8), (None, "a line of text", 5, 6, [1], 9)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, N_LINES int, n_kept int, drop array<int>, dk long")
+    got = sorted(dedup_lines(clash).collect(), key=lambda r: r.dk)
+    assert [(r.n_lines, r.n_kept, r.drop) for r in got] == [(2, 1, [1]), (1, 0, [1]), (1, 1, [1])]
+    assert dedup_lines(clash.select("doc_id", "text")).columns == ["doc_id", "text", "n_lines", "n_kept"]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, component_id string, x string"
 
 

@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SENT_ROWS = 2_000_000
 
 
-def sent(df: DataFrame) -> DataFrame:
+def sent(df: DataFrame, cells: int = 0) -> DataFrame:
     """A written table of numbers, marked for sending to all executors if it is small; a larger one is joined by
-    shuffle."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+    shuffle.  `cells`: what the arrays of all its rows hold."""
+    return F.broadcast(df) if df.count() + cells <= SENT_ROWS else df
 
 
 #: Pairs of blocks that a task compares, and the most tasks over which they are spread.

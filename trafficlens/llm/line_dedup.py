@@ -17,20 +17,42 @@ from .common import components, materialise, sent, table
 
 #: Characters of a shingle.  Shingles start at every character, in all scripts; a shorter line is one shingle.
 SHINGLE = 5
-#: Bands of two values: a pair at similarity 0.8 shares no band with probability 0.002.
-BANDS, BAND = 6, 2
+#: A signature has one value for each of ORDERS random orders of the shingles.
+ORDERS = 24
+#: Bands of five values, each value in several bands: a pair shares no band with a probability of 0.006 at similarity
+#: 0.8, 0.001 at 0.85, 0.0001 at 0.9.  Lines of one language, 0.03 alike on average, share one by chance once in 10**6.
+BANDS, BAND = 32, 5
+#: Fewest equal values of a signature with which a candidate is verified: a pair at similarity 0.8 has fewer with a
+#: probability of 0.0002.
+LEAST_EQUAL = 11
 THRESHOLD = 0.8
-#: Buckets of up to so many lines give all their pairs; the lines of larger ones meet again in finer bands.
-SMALL = 8
-#: Finer bands for the lines of large buckets: a pair at similarity 0.8 shares none with probability 0.0007.
-FINE_BANDS, FINE_BAND = 24, 6
+#: Buckets of up to so many lines give all their pairs; larger ones first link their lines to the bucket's two ends.
+SMALL = 16
 #: Members of a large bucket that one salt holds.
 SALTED = 256
 SALTS = 16
 
 _random = random.Random(6)
 #: Each mask gives two random orders of the shingles, by its least and its greatest hash.
-_MASKS = [_random.getrandbits(63) for _ in range(BANDS * BAND // 2)]
+_MASKS = [_random.getrandbits(63) for _ in range(ORDERS // 2)]
+
+
+def _deal() -> list[list[int]]:
+    """The values of each band, dealt from shuffled packs of all orders: every value serves about as many bands."""
+    hands: list[list[int]] = []
+    pack: list[int] = []
+    while len(hands) < BANDS:
+        hand: list[int] = []
+        while len(hand) < BAND:
+            pack = pack or _random.sample(range(ORDERS), ORDERS)
+            card = next((x for x in pack if x not in hand), None)
+            pack.remove(card) if card is not None else pack.clear()
+            hand += [] if card is None else [card]
+        hands.append(sorted(hand))
+    return hands
+
+
+_HANDS = _deal()
 
 
 def line_of(raw: Column) -> Column:
@@ -66,16 +88,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "dk", "no", line_of(F.col("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
 
 
-def order_ends() -> list[Column]:
-    """Two equal hashes under a mask are ends of the same random order of the shingles."""
-    h = F.col("h")
-    return [end(h.bitwiseXOR(F.lit(c))).alias(f"s{2 * i + j}") for i, c in enumerate(_MASKS) for j, end in enumerate((F.min, F.max))]
-
-
-def band_keys(bands: int, band: int, *salt: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(k), *salt, *(F.col(f"s{k * band + i}") for i in range(band))).alias(f"b{k}") for k in range(bands)]
-
-
 def shingles(texts: DataFrame) -> DataFrame:
     """texts: fp, line -> fp, i, h: a row per shingle and its place, so that all that is computed of it is compiled."""
     wide = texts.select("fp", characters(F.col("line")).alias("wide"), starts(F.col("line")).alias("starts"))
@@ -83,43 +95,31 @@ def shingles(texts: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """fp, n (how often the line occurs), b0.. (keys of its bands)."""
-    signed = shingles(lines(docs).select("fp", "line")).groupBy("fp").agg(F.count_if(F.col("i") == 0).alias("n"), *order_ends())
-    return signed.select("fp", "n", *band_keys(BANDS, BAND))
+    """fp, n (how often the line occurs), s0.. (its signature, 32 bits a value)."""
+    h = F.col("h")
+    ends = [end(h.bitwiseXOR(F.lit(c))).alias(f"s{2 * i + j}") for i, c in enumerate(_MASKS) for j, end in enumerate((F.min, F.max))]
+    signed = shingles(lines(docs).select("fp", "line")).groupBy("fp").agg(F.count_if(F.col("i") == 0).alias("n"), *ends)
+    return signed.select("fp", "n", *(F.hash(f"s{k}").alias(f"s{k}") for k in range(ORDERS)))
 
 
-def fine_members(texts: DataFrame) -> DataFrame:
-    """texts: fp, line -> fp, bucket: the keys of FINE_BANDS further bands, of orders independent of the first ones."""
-    per = BANDS * BAND // FINE_BAND
-    seeds = F.explode(F.sequence(F.lit(1), F.lit(FINE_BANDS // per))).alias("seed")
-    mixed = shingles(texts).select("fp", "h", seeds).select("fp", "seed", F.xxhash64("h", "seed").alias("h"))
-    signed = mixed.groupBy("fp", "seed").agg(*order_ends())
-    return signed.select("fp", F.explode(F.array(*band_keys(per, FINE_BAND, F.col("seed")))).alias("bucket"))
+def buckets(unique: DataFrame) -> DataFrame:
+    """fp, bucket, low, high, size: the members of every bucket of more than one line, with the bucket's ends."""
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"s{i}") for i in hand)) for k, hand in enumerate(_HANDS)))
+    members = unique.select("fp", F.explode(keys).alias("bucket"))
+    # Most buckets hold one line: they are counted by themselves, and only the others' lines are gathered.
+    shared = sent(materialise(members.groupBy("bucket").count().where("count > 1").select("bucket")))
+    members = materialise(members.join(shared, "bucket"))
+    ends = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("size"))
+    return materialise(members.join(ends, "bucket"))
 
 
-def crowded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members: fp, bucket -> (distinct pairs a < b of lines that share a bucket of up to SMALL lines; the members of
-    larger buckets with the bucket's low, high and size)."""
-    full = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = materialise(members.join(full, "bucket"))
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Distinct a < b: all pairs of the small buckets; each line of a large one with the bucket's two ends."""
     small = members.where(F.col("size") <= SMALL)
-    pairs = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    return pairs, members.where(F.col("size") > SMALL)
-
-
-def outermost(members: DataFrame) -> DataFrame:
-    """Each member of a large bucket with the bucket's two outermost keys: a few links that join most of a dense bucket,
-    besides those of the finer buckets."""
-    to_low = members.select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    return to_low.union(members.select(F.col("fp").alias("a"), F.col("high").alias("b"))).where("a < b").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line, size."""
-    left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    common = F.size(F.array_intersect(shingle_hashes(F.col("la")), shingle_hashes(F.col("lb"))))
-    return both.where(once(common, lambda c: c >= threshold * (F.col("na") + F.col("nb") - c))).select("a", "b")
+    inside = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").select("a", "b")
+    large = members.where(F.col("size") > SMALL)
+    ends = large.select(F.col("low").alias("a"), F.col("fp").alias("b")).union(large.select(F.col("fp").alias("a"), F.col("high").alias("b")))
+    return inside.union(ends).where("a < b").distinct()
 
 
 def across(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -135,42 +135,45 @@ def across(members: DataFrame, roots: DataFrame) -> DataFrame:
     return left.join(right, ["bucket", "salt"]).where("a < b and ra <> rb").select("a", "b").distinct()
 
 
-def near_pairs(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """node, root of the components of lines at the threshold.  unique: fp, b0.. (bands).
+def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in LEAST_EQUAL values."""
+    left, right = (unique.select(F.col("fp").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))) for x in "ab")
+    equal = sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(ORDERS)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b")
 
-    Lines of one shingle set are gathered.  Small buckets give all their pairs.  The lines of large ones get finer bands,
-    whose small buckets give all their pairs too; in those that are large even so, the members that the links have not
-    joined yet are all compared with each other.  So no bucket is cut, and a family that the links have joined is no square
-    of pairs; lines of a large bucket that stay apart are."""
-    bands = F.array(*(F.col(f"b{k}") for k in range(BANDS)))
-    members = unique.select("fp", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("bucket")
-    members = materialise(members.join(shared, "bucket"))
-    wanted = sent(materialise(members.select("fp").distinct()))
-    found = lines(docs).join(wanted, "fp").select("fp", "line").dropDuplicates(["fp"])
-    found = found.withColumn("s", F.array_distinct(shingle_hashes(F.col("line")))).select("fp", "line", F.size("s").alias("size"), F.xxhash64(F.sort_array("s")).alias("set"))
-    texts = materialise(found)
-
-    first = texts.groupBy("set").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    same = materialise(texts.join(first, "set").select(F.col("low").alias("a"), F.col("fp").alias("b")).where("a < b"))
-    members = members.join(same.select(F.col("b").alias("fp")), "fp", "left_anti")
-    pairs, large = crowded(members)
-    many = materialise(large.select("fp").distinct())
-    fine_pairs, dense = crowded(materialise(fine_members(texts.join(many, "fp").select("fp", "line"))))
-    pairs = materialise(pairs.union(outermost(large)).union(fine_pairs).union(outermost(dense)).distinct())
-    links = materialise(same.union(verified(pairs, texts, threshold)))
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line."""
+    left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    sets = F.struct(shingle_hashes(F.col("la")).alias("x"), shingle_hashes(F.col("lb")).alias("y"))
+    jaccard = once(sets, lambda s: F.size(F.array_intersect(s.x, s.y)) / F.size(F.array_union(s.x, s.y)))
+    return both.where(jaccard >= threshold).select("a", "b")
+
+
+def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the components of lines at the threshold.  unique: fp, s0.. (signature).
+
+    Small buckets give all their pairs, large ones the pairs with their two ends; the members of a large bucket that
+    these links leave in different components are then all compared with each other.  So no bucket is cut, and a family
+    that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
+    members = buckets(unique)
+    pairs = materialise(alike(first_pairs(members), unique))
+    wanted = members.where(F.col("size") > SMALL).select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = materialise(lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"]))
+    links = materialise(verified(pairs, texts, threshold))
     roots = components(links)
-    if dense.isEmpty():
+    rest = materialise(across(members.where(F.col("size") > SMALL), roots).join(pairs, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
         return roots
-    rest = materialise(across(dense, roots).join(pairs, ["a", "b"], "left_anti"))
-    more = materialise(verified(rest, texts, threshold))
-    return roots if more.isEmpty() else components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+    more = materialise(verified(alike(rest, unique), texts, threshold))
+    return components(materialise(links.union(more)))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """fp, root: for every line that has a copy or a near copy, the key of its component."""
     unique = materialise(signatures(docs))
-    roots = near_pairs(unique, docs, threshold)
+    roots = near_roots(unique, docs, threshold)
     copied = unique.where("n > 1").select("fp")
     return copied.join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -195,17 +198,22 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one of the smallest (doc_id, line number).  Lines without text are left in place and belong to no component.  A null
     text stays null, an empty one empty; a document may lose all its lines.  Rows that repeat a doc_id and its text are
     one document: each copy keeps the same lines.  A line of any length is shingled whole.  An empty table gives an
-    empty result.  Two different lines share a 64-bit key with a probability of n squared / 2**65.
+    empty result.  Columns of the input named n_lines or n_kept are replaced; other columns pass through, whatever their
+    names.  Two different lines share a 64-bit key with a probability of n squared / 2**65.
     """
-    drops = sent(materialise(dropped_lines(docs, threshold))).withColumnsRenamed({"doc_id": "__d", "dk": "__k", "drop": "__drop"})
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("doc_id", "text") == F.col("__k")), "left")
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains("__drop", i), F.lit(False)))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n)
-    out = joined.withColumns({"n_lines": n, "n_kept": n - F.coalesce(F.size("__drop"), F.lit(0))})
-    return out.withColumn("text", text).select(*docs.columns, "n_lines", F.when(F.col("__drop").isNull(), F.col("n_lines")).otherwise(F.col("n_kept")).alias("n_kept"))
+    drops = materialise(dropped_lines(docs, threshold))
+    # Sent by the cells that the rows hold, not by the rows: a document's list of numbers may be long.
+    drops = sent(drops, drops.agg(F.sum(F.size("drop"))).first()[0] or 0)
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_kept")]
+    rows = docs.select(F.struct(*others).alias("row"))
+    text = F.col("row.text")
+    joined = rows.join(drops, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.doc_id", "row.text") == F.col("dk")), "left")
+    split = F.split(text, "\n")
+    kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(split, lambda x: F.trim(x) != "")))
+    new = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [(new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in others]
+    return joined.select(*columns, n.alias("n_lines"), (n - F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop"))).alias("n_kept"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
