@@ -7,7 +7,7 @@ import numpy as np
 
 from trafficlens.llm.embed_dedup import calibrated_count, near_duplicates
 from trafficlens.llm.line_dedup import SHINGLE, dedup_lines
-from trafficlens.llm.ngram_join import fewest_matches, near_copies
+from trafficlens.llm.ngram_join import SCHEME, near_copies
 
 DOCS = "doc_id long, text string, kept string, class_id int, fp string, family string"
 
@@ -78,7 +78,7 @@ def test_near_copies(spark):
 
 def test_pruning_keeps_true_pairs():
     rng = np.random.default_rng(5)
-    least = fewest_matches(0.8)
+    least = SCHEME.fewest_matches()
     matches = np.cumsum(rng.random((20_000, 125)) < 0.8, axis=1)
     assert np.mean(np.all([matches[:, n - 1] >= m for n, m in least.items()], axis=0)) > 0.998
     matches = np.cumsum(rng.random((20_000, 125)) < 0.4, axis=1)

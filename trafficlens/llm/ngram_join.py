@@ -8,32 +8,26 @@ survives is verified on the whole shingle sets.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, meet, sent, table
+from .common import components, materialise, sent, table
+from .near_pairs import Scheme, find_links
 
 WORDS = 5
 #: 25 bands of 5 values: a pair at similarity 0.8 shares no band with probability 5e-5.
 BANDS, BAND = 25, 5
-HASHES = BANDS * BAND
-#: MinHash values compared at a time, and the tolerance.
-STEP, TOLERANCE = 25, 1e-4
-#: Buckets of up to so many members give pairs; the members of larger ones are compared as blocks.
-SMALL = 24
-BLOCK_ROWS = 512
+#: MinHash values compared at a time.
+STEP = 25
 CHARS_AT_ONCE = 4_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_rng = np.random.default_rng(2)
-_A, _B = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * 2 + 1, _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -62,19 +56,6 @@ def shingles(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return total[whole], np.bincount(owner[whole], minlength=len(n))
 
 
-def signatures(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """MinHash values [texts, HASHES]; all ones for a text without shingles."""
-    out = np.full((len(n), HASHES), 0xFFFFFFFF, np.uint32)
-    some = np.flatnonzero(n)
-    if len(some):
-        starts = (np.cumsum(n) - n)[some]
-        x = (h >> np.uint64(32)).astype(np.uint32)
-        with np.errstate(over="ignore"):
-            for k in range(HASHES):
-                out[some, k] = np.minimum.reduceat(x * _A[k] + _B[k], starts)
-    return out
-
-
 def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -92,8 +73,23 @@ def text_key(words: list[str]) -> tuple[int, int]:
     return (k & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (k >> 64) - (1 << 63)
 
 
+SCHEME = Scheme(lambda texts: shingles([t.lower().split() for t in texts]), BANDS * BAND, tuple(tuple(range(b * BAND, (b + 1) * BAND)) for b in range(BANDS)), STEP)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 (128 bits that equal texts share), text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [text_key(t.lower().split()) for t in batch.column("text").to_pylist()]
+            low, high = (pa.array(k, pa.int64()) for k in (zip(*keys, strict=True) if keys else ([], [])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), low, high, batch.column("text")], names=["doc_id", "k1", "k2", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, text string")
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128 bits that equal texts share; null for a null text), n shingles, signature."""
+    """doc_id, k1, k2 (null for a null text), n shingles, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,140 +98,11 @@ def sign(docs: DataFrame) -> DataFrame:
                 words = [(t or "").lower().split() for t in texts[at:to]]
                 keys = [(None, None) if t is None else text_key(w) for t, w in zip(texts[at:to], words, strict=True)]
                 h, n = shingles(words)
-                sig = signatures(h, n)
+                sig = SCHEME.signatures(h, n)
                 low, high = (pa.array(k, pa.int64()) for k in zip(*keys, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), low, high, pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
-
-
-def fewest_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
-    """After n compared values, the fewest matches with which a pair stays: with a uniform prior, the posterior
-    probability of a similarity of at least t after m of n matches is P(Binomial(n + 1, t) <= m)."""
-    out = {}
-    for n in range(STEP, HASHES + 1, STEP):
-        tail, m = 0.0, -1
-        while tail < tolerance:
-            m += 1
-            tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        out[n] = m
-    return out
-
-
-def prune(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i of a, j of b) that incremental comparison leaves."""
-    matches = np.zeros(len(i), np.int32)
-    for n, least in fewest_matches(threshold).items():
-        if len(i):
-            matches += (a[i, n - STEP : n] == b[j, n - STEP : n]).sum(1, dtype=np.int32)
-            keep = matches >= least
-            i, j, matches = i[keep], j[keep], matches[keep]
-    return i, j
-
-
-def overlaps(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sorted sets: one by one if pairs are few, else by products of 0/1 matrices over
-    slices of the shingles."""
-    if len(i) <= 2 * (len(x) + len(y)):
-        return np.array([len(np.intersect1d(x[p], y[q], assume_unique=True)) for p, q in zip(i, j, strict=True)], np.int64)
-    rows, cols = np.unique(i), np.unique(j)
-    all_x, all_y = np.concatenate([x[p] for p in rows]), np.concatenate([y[q] for q in cols])
-    shared = np.intersect1d(all_x, all_y)
-    total = np.zeros((len(rows), len(cols)), np.float32)
-    for part in np.array_split(shared, max(1, -(-len(shared) // 8192))):
-        m = []
-        for flat, sets, some in ((all_x, x, rows), (all_y, y, cols)):
-            at = np.minimum(np.searchsorted(part, flat), len(part) - 1) if len(part) else np.zeros(len(flat), np.int64)
-            hit = part[at] == flat if len(part) else np.zeros(len(flat), bool)
-            one = np.zeros((len(some), max(1, len(part))), np.float32)
-            one[np.repeat(np.arange(len(some)), [len(sets[p]) for p in some])[hit], at[hit]] = 1
-            m.append(one)
-        total += m[0] @ m[1].T
-    return total[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
-
-
-def links_of(sig: np.ndarray, sets: list[np.ndarray], sig2: np.ndarray, sets2: list[np.ndarray], same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of two blocks (or within one) whose Jaccard similarity reaches the threshold."""
-    i, j = np.triu_indices(len(sig), 1) if same else (x.ravel() for x in np.indices((len(sig), len(sig2))))
-    i, j = prune(sig, sig2, i, j, threshold)
-    common = overlaps(sets, sets2, i, j)
-    size, size2 = np.array([len(s) for s in sets]), np.array([len(s) for s in sets2])
-    keep = common >= threshold * (size[i] + size2[j] - common) - 1e-9
-    return i[keep], j[keep]
-
-
-def _summary(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-    """One row per text with links here, never one per pair: their number and the smallest id that they reach."""
-    n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-    root = ids.copy()
-    while True:
-        new = root.copy()
-        np.minimum.at(new, i, root[j])
-        np.minimum.at(new, j, root[i])
-        if (new == root).all():
-            break
-        root = new
-    some = np.flatnonzero(n)
-    return pd.DataFrame({"id": ids[some], "n": n[some].astype("int64"), "root": root[some]})
-
-
-SUMMARY = "id long, n long, root long"
-
-
-def _unpack(sets: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(s, "<u8") for s in sets]
-
-
-def _matrix(sigs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES)
-
-
-def _bin(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Many small families."""
-        out = []
-        for _, part in pdf.groupby("family", sort=False):
-            sets, sig = _unpack(part["shingles"]), _matrix(part["sig"])
-            i, j = links_of(sig, sets, sig, sets, True, threshold)
-            if len(i):
-                out.append(_summary(part["id"].to_numpy(), i, j))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-
-    return run
-
-
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    sizes = pdf["shingles"].map(len).to_numpy("<i8")
-    return pd.DataFrame({"family": pdf["family"].iloc[:1], "block": pdf["sub"].iloc[:1], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "sigs": [b"".join(pdf["sig"])], "sizes": [sizes.tobytes()], "sets": [b"".join(pdf["shingles"])]})
-
-
-def _blocks(threshold: float):
-    def sides(r: object, mark: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        sizes = np.frombuffer(getattr(r, "sizes" + mark), "<i8") // 8
-        sets = np.split(np.frombuffer(getattr(r, "sets" + mark), "<u8"), np.cumsum(sizes)[:-1])
-        return np.frombuffer(getattr(r, "ids" + mark), "<i8"), np.frombuffer(getattr(r, "sigs" + mark), "<u4").reshape(-1, HASHES), sets
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                (ids, sig, sets), (ids2, sig2, sets2) = sides(r, ""), sides(r, "2")
-                same = r.block == r.block2
-                i, j = links_of(sig, sets, sig2, sets2, same, threshold)
-                if len(i):
-                    yield _summary(ids if same else np.concatenate([ids, ids2]), i, j if same else j + len(ids))
-
-    return run
-
-
-def _survivors(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                at = np.arange(len(pdf))
-                keep, _ = prune(_matrix(pdf["sig"]), _matrix(pdf["sig2"]), at, at, threshold)
-                yield pdf[["a", "b"]].iloc[keep]
-
-    return run
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -247,68 +114,33 @@ def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     A null text or null doc_id links with nothing and is kept, class_id being its own doc_id; texts without words are
     copies of each other only; a text of one to four words is a single shingle.  Repeated rows are copies, and all rows
-    with the kept doc_id are kept.  Rows that share a doc_id but not the text are compared as texts of one document.
-    An empty table gives an empty result; long texts are read whole.
+    with the kept doc_id are kept.  Rows that share a doc_id but not the text are texts by themselves.  An empty table
+    gives an empty result; long texts are read whole; further columns of docs are not read, whatever their names.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(sign(docs))
     texts = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
-    texts = materialise(texts.agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.min("sig").alias("sig")))
-
-    # Candidates: buckets of bands with more than one text.
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substr(F.col("sig"), b * (4 * BAND) + 1, F.lit(4 * BAND))))
-    members = texts.where("n > 0").select("id", F.explode(band).alias("bucket"))
-    full = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("size")).where("leader < last")
-    members = materialise(members.join(full.select("bucket", "leader", "size"), "bucket"))
-    small = members.where(F.col("size") <= SMALL)
-    left, right = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
-    pairs = left.join(right, "bucket").where("a < b").select("a", "b").distinct()
-    # The first comparisons, on pairs of small buckets; members of large buckets are led to their bucket's first.
-    sigs = texts.select(F.col("id").alias("a"), "sig")
-    signed = pairs.join(sigs, "a").join(sigs.select(F.col("a").alias("b"), F.col("sig").alias("sig2")), "b")
-    alike = signed.mapInPandas(_survivors(threshold), "a long, b long")
-    led = members.where(F.col("size") > SMALL).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    families = components(materialise(alike.union(led)))
-
-    # The whole shingle sets of the families' texts.
-    families = materialise(families.withColumnRenamed("node", "id").withColumnRenamed("root", "family"))
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    families = materialise(families.join(sizes, "family"))
-    wanted = texts.select("id", "k1", "sig").join(families, "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at, to in batches_of(texts):
-                words = [t.lower().split() for t in texts[at:to]]
-                h, n = shingles(words)
-                packed = [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-                k1 = pa.array([text_key(w)[0] for w in words], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), k1, pa.array(packed, pa.binary())], names=["id", "k1", "shingles"])
-
-    ids = sent(materialise(families.select("id")))
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(ids, "id").mapInArrow(sets, "id long, k1 long, shingles binary")
-    found = wanted.join(found.dropDuplicates(["id", "k1"]), ["id", "k1"])
-
-    bins = F.pmod(F.xxhash64("family"), F.lit(max(1, families.count() // (2 * BLOCK_ROWS)))).cast("int")
-    in_bins = found.where(F.col("size") <= BLOCK_ROWS).withColumn("bin", bins).select("bin", "family", "id", "sig", "shingles").groupBy("bin").applyInPandas(_bin(threshold), SUMMARY)
-    large = found.where(F.col("size") > BLOCK_ROWS).withColumn("sub", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int"))
-    blocks = materialise(large.select("family", "sub", "id", "sig", "shingles").groupBy("family", "sub").applyInPandas(_block, "family long, block int, ids binary, sigs binary, sizes binary, sets binary"))
-    other = blocks.select("family", *(F.col(c).alias(f"{c}2") for c in ("block", "ids", "sigs", "sizes", "sets")))
-    names = blocks.select("family", "block")
-    pairs = materialise(names.join(names.withColumnRenamed("block", "block2"), "family").where("block <= block2"))
-    in_blocks = meet(pairs, blocks, ["family", "block"], other, ["family", "block2"]).drop("family").mapInPandas(_blocks(threshold), SUMMARY)
-
-    links = materialise(in_bins.union(in_blocks))
+    texts = materialise(texts.agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.min("sig").alias("sig")))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        firsts = materialise(texts.select("first", F.col("k1").alias("id")).join(ids, "id", "left_semi"))
+        found = docs.where("text is not null").join(sent(firsts.select(F.col("first").alias("doc_id")).distinct()), "doc_id")
+        return keyed(found).select(F.col("k1").alias("id"), "text").join(sent(ids), "id", "left_semi").dropDuplicates(["id"])
+
+    links = find_links(texts.select(F.col("k1").alias("id"), "n", "sig"), fetch, replace(SCHEME, threshold=threshold))
     roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
-    classes = texts.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "id", "n_copies").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classes = texts.select("k1", "k2", "first", "n_copies").join(counts.withColumnRenamed("id", "k1"), "k1", "left").join(roots.withColumnRenamed("node", "k1"), "k1", "left")
+    classes = materialise(classes)
+    least = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "root", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "n_copies", "n_links", F.coalesce("least", "first").alias("class"))
     classes = materialise(classes)
     # One text may have a third of all rows: the rows are spread by salt, and each class goes to all salts.
     salts = 16
     salted = rows.select("doc_id", "k1", "k2").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     classes = classes.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = salted.join(classes, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("salt") == F.col("salt2")) & F.col("doc_id").isNotNull(), "left")
-    class_id = F.coalesce("root", "id", "doc_id")
+    class_id = F.coalesce("class", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
