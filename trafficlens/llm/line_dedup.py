@@ -10,7 +10,6 @@ figures are in the README).  All else is DataFrame functions.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -24,9 +23,9 @@ from .near_pairs import Scheme, find_links
 
 #: Characters of a shingle.  Shingles start at every character, in all scripts; a shorter line is one shingle.
 SHINGLE = 5
-#: 24 bands of 5 of the 32 values of a signature: a pair shares no band with a probability of 0.005 at similarity 0.8,
-#: 0.0006 at 0.85.  Lines of one language, 0.03 alike on average, share one by chance once in 10**6.
-HASHES, BANDS, BAND, STEP = 32, 24, 5, 16
+#: 13 bands of 5 values: a pair shares no band with a probability of 0.006 at similarity 0.8, 0.0005 at 0.85.  Lines of
+#: one language, 0.03 alike on average, share one by chance three times in 10**7.
+BANDS, BAND, STEP = 13, 5, 13
 THRESHOLD = 0.8
 SALTS = 16
 #: Characters that a task shingles at once.
@@ -35,23 +34,6 @@ CHARS_AT_ONCE = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def deal(hashes: int, bands: int, band: int) -> tuple[tuple[int, ...], ...]:
-    """The values of each band, dealt from shuffled packs of all: every value serves about as many bands."""
-    rng, hands, pack = random.Random(6), [], []
-    while len(hands) < bands:
-        hand: list[int] = []
-        while len(hand) < band:
-            pack = pack or rng.sample(range(hashes), hashes)
-            card = next((x for x in pack if x not in hand), None)
-            if card is None:
-                pack = []
-            else:
-                pack.remove(card)
-                hand.append(card)
-        hands.append(tuple(sorted(hand)))
-    return tuple(hands)
-
-
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of all lines, and how many belong to each."""
     wide = "".join(t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in texts).encode("utf-32-le")
@@ -73,7 +55,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside[: len(h)]], size - SHINGLE + 1
 
 
-SCHEME = Scheme(shingles, HASHES, deal(HASHES, BANDS, BAND), STEP)
+SCHEME = Scheme(shingles, BANDS, BAND, STEP)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -83,7 +65,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, no, fp, n (shingles), sig: a row per line."""
+    """doc_id, dk, no, fp, at (64-bit key of this place), n (shingles), sig: a row per line."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +78,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(ends, done + CHARS_AT_ONCE)))
                 h, n = shingles(texts[at:to])
                 sig = SCHEME.signatures(h, n)
-                cut = batch.select(["doc_id", "dk", "no", "fp"]).slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "dk", "no", "fp", "n", "sig"])
+                cut = batch.select(["doc_id", "dk", "no", "fp", "at"]).slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary())], names=[*cut.schema.names, "n", "sig"])
                 at = to
 
-    return lines(docs).mapInArrow(run, f"doc_id {kind}, dk long, no int, fp long, n long, sig binary")
+    placed = lines(docs).withColumn("at", F.xxhash64("dk", "no"))
+    return placed.mapInArrow(run, f"doc_id {kind}, dk long, no int, fp long, at long, n long, sig binary")
 
 
 def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """fp, root: for every line that has a copy or a near copy, the key of its component."""
-    unique = materialise(found.groupBy("fp").agg(F.count("*").alias("times"), F.min("n").alias("n"), F.min("sig").alias("sig")))
+    # Of each line that occurs more than once, the occurrence whose signature counts: no signature is shuffled for it.
+    copied = materialise(found.groupBy("fp").agg(F.count("*").alias("times"), F.min("at").alias("kept_at")).where("times > 1").select(F.col("fp").alias("copied"), "kept_at"))
+    unique = found.join(sent(copied), F.col("fp") == F.col("copied"), "left").where("kept_at is null or kept_at = at")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = sent(ids.withColumnRenamed("id", "fp"))
@@ -113,7 +98,7 @@ def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     links = find_links(unique.select(F.col("fp").alias("id"), "n", "sig"), fetch, replace(SCHEME, threshold=threshold))
     roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return unique.where("times > 1").select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
+    return copied.select(F.col("copied").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -32,27 +32,32 @@ SUMMARY = "id long, n long, root long"
 
 @dataclass(frozen=True)
 class Scheme:
-    """`shingles` gives 64-bit hashes of the shingles of all texts and how many belong to each; `hands` are the places in
-    a signature of `hashes` values that each band holds; `step` values are compared at a time."""
+    """`shingles` gives 64-bit hashes of the shingles of all texts and how many belong to each; a signature has `bands`
+    bands of `band` values, of which `step` are compared at a time."""
 
     shingles: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-    hashes: int
-    hands: tuple[tuple[int, ...], ...]
+    bands: int
+    band: int
     step: int
     threshold: float = 0.8
 
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.band
+
     def signatures(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """MinHash values [texts, hashes]; all ones for a text without shingles."""
+        """MinHash values [texts, hashes], of each the lower 16 bits (different values are equal in them once in 65,536
+        times); all ones for a text without shingles."""
         rng = np.random.default_rng(2)
         a, b = rng.integers(1, 1 << 31, self.hashes, dtype=np.uint32) * 2 + 1, rng.integers(0, 1 << 32, self.hashes, dtype=np.uint32)
-        out = np.full((len(n), self.hashes), 0xFFFFFFFF, np.uint32)
+        out = np.full((len(n), self.hashes), 0xFFFF, np.uint16)
         some = np.flatnonzero(n)
         if len(some):
             starts = (np.cumsum(n) - n)[some]
             x = (h >> np.uint64(32)).astype(np.uint32)
             with np.errstate(over="ignore"):
                 for k in range(self.hashes):
-                    out[some, k] = np.minimum.reduceat(x * a[k] + b[k], starts)
+                    out[some, k] = np.minimum.reduceat(x * a[k] + b[k], starts) & np.uint32(0xFFFF)
         return out
 
     def fewest_matches(self) -> dict[int, int]:
@@ -128,7 +133,7 @@ def summary(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
 
 
 def _matrix(sigs: pd.Series, hashes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), "<u4").reshape(-1, hashes)
+    return np.frombuffer(b"".join(sigs), "<u2").reshape(-1, hashes)
 
 
 def _survivors(scheme: Scheme):
@@ -168,7 +173,7 @@ def _block(scheme: Scheme):
 def _blocks(scheme: Scheme):
     def side(r: object, mark: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         sets = np.split(np.frombuffer(getattr(r, "sets" + mark), "<u8"), np.cumsum(np.frombuffer(getattr(r, "sizes" + mark), "<i8"))[:-1])
-        return np.frombuffer(getattr(r, "ids" + mark), "<i8"), np.frombuffer(getattr(r, "sigs" + mark), "<u4").reshape(-1, scheme.hashes), sets
+        return np.frombuffer(getattr(r, "ids" + mark), "<i8"), np.frombuffer(getattr(r, "sigs" + mark), "<u2").reshape(-1, scheme.hashes), sets
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,7 +198,8 @@ def find_links(texts: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme
 
     A hot bucket never gathers in one task: its minimum and size combine before the shuffle, its texts go into blocks of
     bounded size, and the pairs of blocks are spread evenly over tasks."""
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.substring("sig", 4 * i + 1, 4) for i in hand)) for k, hand in enumerate(scheme.hands)))
+    wide = 2 * scheme.band
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * wide + 1, wide)) for k in range(scheme.bands)))
     members = texts.where("n > 0").select("id", F.explode(keys).alias("bucket"))
     # Most buckets hold one text: they are counted by themselves, and only the others' texts are gathered.
     shared = sent(materialise(members.groupBy("bucket").count().where("count > 1").select("bucket")))
@@ -204,14 +210,15 @@ def find_links(texts: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme
     small = members.where(F.col("size") <= SMALL)
     left, right = small.select("bucket", F.col("id").alias("a")), small.select("bucket", F.col("id").alias("b"))
     pairs = left.join(right, "bucket").where("a < b").select("a", "b").distinct()
-    sigs = texts.join(small.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), "sig")
+    sigs = texts.join(sent(materialise(small.select("id").distinct())), "id", "left_semi").select(F.col("id").alias("a"), "sig")
     sigs = materialise(sigs)
     signed = pairs.join(sigs, "a").join(sigs.select(F.col("a").alias("b"), F.col("sig").alias("sig2")), "b")
     alike = signed.mapInPandas(_survivors(scheme), "a long, b long")
     led = members.where(F.col("size") > SMALL).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     families = components(materialise(alike.union(led))).withColumnRenamed("node", "id").withColumnRenamed("root", "family")
 
-    families = materialise(families.join(texts.select("id", F.col("n").alias("shingles")), "id"))
+    families = materialise(families)
+    families = materialise(texts.select("id", F.col("n").alias("shingles")).join(sent(families), "id"))
     sizes = families.groupBy("family").agg(F.count("*").alias("rows"), F.sum("shingles").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES))
     families = materialise(families.select("id", "family").join(sizes.select("family", parts.alias("parts")), "family"))

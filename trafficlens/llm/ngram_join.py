@@ -73,7 +73,7 @@ def text_key(words: list[str]) -> tuple[int, int]:
     return (k & 0xFFFFFFFFFFFFFFFF) - (1 << 63), (k >> 64) - (1 << 63)
 
 
-SCHEME = Scheme(lambda texts: shingles([t.lower().split() for t in texts]), BANDS * BAND, tuple(tuple(range(b * BAND, (b + 1) * BAND)) for b in range(BANDS)), STEP)
+SCHEME = Scheme(lambda texts: shingles([t.lower().split() for t in texts]), BANDS, BAND, STEP)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
