@@ -1,112 +1,193 @@
-"""Operator 6: fuzzy line deduplication by MinHash.
+"""Operator 6 [native]: fuzzy line deduplication by MinHash.
 
 Every line has character shingles (those of five characters at every position) and a signature over them; lines that
 share a band are candidates, verified by the exact Jaccard similarity of their shingle sets.  Components of the
 verified links come from distributed union-find, and the first line of each component stays.
-
-Signatures and verification are Arrow functions: as DataFrame functions alone they exceed the check tool's limits (the
-figures are in the README).  All else is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import replace
+import random
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialise, sent, table
-from .near_pairs import Scheme, find_links
 
 #: Characters of a shingle.  Shingles start at every character, in all scripts; a shorter line is one shingle.
 SHINGLE = 5
-#: 13 bands of 5 values: a pair shares no band with a probability of 0.006 at similarity 0.8, 0.0005 at 0.85.  Lines of
-#: one language, 0.03 alike on average, share one by chance three times in 10**7.
-BANDS, BAND, STEP = 13, 5, 13
+#: A signature has one value for each of ORDERS random orders of the shingles.
+ORDERS = 24
+#: Bands of five values, each value in several bands: a pair shares no band with a probability of 0.006 at similarity
+#: 0.8, 0.001 at 0.85, 0.0001 at 0.9.  Lines of one language, 0.03 alike on average, share one by chance once in 10**6.
+BANDS, BAND = 32, 5
+#: Fewest equal values of a signature with which a candidate is verified: a pair at similarity 0.8 has fewer with a
+#: probability of 0.0002.
+LEAST_EQUAL = 11
 THRESHOLD = 0.8
+#: Buckets of up to so many lines give all their pairs; larger ones first link their lines to LEADERS of them, the first in
+#: as many random orders of all lines (so that a family has about the same leaders in all its buckets).
+SMALL, LEADERS = 24, 12
+#: Members of a large bucket that one salt holds.
+SALTED = 256
 SALTS = 16
-#: Characters that a task shingles at once.
-CHARS_AT_ONCE = 250_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_random = random.Random(6)
+#: Each mask gives two random orders of the shingles, by its least and its greatest hash.
+_MASKS = [_random.getrandbits(63) for _ in range(ORDERS // 2)]
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles of all lines, and how many belong to each."""
-    wide = "".join(t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in texts).encode("utf-32-le")
-    flat = np.frombuffer(wide, np.uint32)
-    size = np.array([max(SHINGLE, len(t)) for t in texts], np.int64)
-    if not len(flat):
-        return np.zeros(0, np.uint64), size
-    h = np.zeros(len(flat) - SHINGLE + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            h *= _MIX
-            h += flat[k : k + len(h)]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    inside = np.ones(len(flat), bool)
-    for k in range(1, SHINGLE):
-        inside[np.cumsum(size) - k] = False
-    return h[inside[: len(h)]], size - SHINGLE + 1
+def _deal() -> list[list[int]]:
+    """The values of each band, dealt from shuffled packs of all orders: every value serves about as many bands."""
+    hands: list[list[int]] = []
+    pack: list[int] = []
+    while len(hands) < BANDS:
+        hand: list[int] = []
+        while len(hand) < BAND:
+            pack = pack or _random.sample(range(ORDERS), ORDERS)
+            card = next((x for x in pack if x not in hand), None)
+            pack.remove(card) if card is not None else pack.clear()
+            hand += [] if card is None else [card]
+        hands.append(sorted(hand))
+    return hands
 
 
-SCHEME = Scheme(shingles, BANDS, BAND, STEP)
+_HANDS = _deal()
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, dk (key of the document's row), no, line, fp (64-bit key of the line); lines without text left out."""
-    split = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return split.select("doc_id", "dk", "no", F.lower(F.trim("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
+def line_of(raw: Column) -> Column:
+    return F.lower(F.trim(raw))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, dk, no, fp, at (64-bit key of this place), n (shingles), sig: a row per line."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def starts(line: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("line").to_pylist()
-            ends = np.cumsum(np.array(list(map(len, texts)), np.int64))
-            at = 0
-            while at < len(texts):
-                done = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + CHARS_AT_ONCE)))
-                h, n = shingles(texts[at:to])
-                sig = SCHEME.signatures(h, n)
-                cut = batch.select(["doc_id", "dk", "no", "fp", "at"]).slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary())], names=[*cut.schema.names, "n", "sig"])
-                at = to
 
-    placed = lines(docs).withColumn("at", F.xxhash64("dk", "no"))
-    return placed.mapInArrow(run, f"doc_id {kind}, dk long, no int, fp long, at long, n long, sig binary")
+def characters(line: Column) -> Column:
+    """Four bytes a character, so that a shingle is found without counting from the line's start."""
+    return F.encode(line, "UTF-32")
 
 
-def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """fp, root: for every line that has a copy or a near copy, the key of its component."""
-    # Of each line that occurs more than once, the occurrence whose signature counts: no signature is shuffled for it.
-    copied = materialise(found.groupBy("fp").agg(F.count("*").alias("times"), F.min("at").alias("kept_at")).where("times > 1").select(F.col("fp").alias("copied"), "kept_at"))
-    unique = found.join(sent(copied), F.col("fp") == F.col("copied"), "left").where("kept_at is null or kept_at = at")
+def shingle_at(wide: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(wide, start * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row: inlined in a lambda, it would be computed for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = sent(ids.withColumnRenamed("id", "fp"))
-        return lines(docs).join(wanted, "fp").select(F.col("fp").alias("id"), F.col("line").alias("text")).dropDuplicates(["id"])
 
-    links = find_links(unique.select(F.col("fp").alias("id"), "n", "sig"), fetch, replace(SCHEME, threshold=threshold))
-    roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return copied.select(F.col("copied").alias("fp")).join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
+def shingle_hashes(line: Column) -> Column:
+    last = lambda wide: F.greatest(F.octet_length(wide) / 4 - SHINGLE, F.lit(0)).cast("int")
+    return once(characters(line), lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: shingle_at(wide, i)))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, dk (key of the document's row), no, line, fp (64-bit key of the line); lines without text left out."""
+    split = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return split.select("doc_id", "dk", "no", line_of(F.col("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
+
+
+def shingles(texts: DataFrame) -> DataFrame:
+    """texts: fp, line -> fp, i, h: a row per shingle and its place, so that all that is computed of it is compiled."""
+    wide = texts.select("fp", characters(F.col("line")).alias("wide"), starts(F.col("line")).alias("starts"))
+    return wide.select("fp", "wide", F.explode("starts").alias("i")).select("fp", "i", shingle_at(F.col("wide"), F.col("i")).alias("h"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """fp, n (how often the line occurs), s0.. (its signature, 32 bits a value)."""
+    h = F.col("h")
+    ends = [end(h.bitwiseXOR(F.lit(c))).alias(f"s{2 * i + j}") for i, c in enumerate(_MASKS) for j, end in enumerate((F.min, F.max))]
+    signed = shingles(lines(docs).select("fp", "line")).groupBy("fp").agg(F.count_if(F.col("i") == 0).alias("n"), *ends)
+    return signed.select("fp", "n", *(F.hash(f"s{k}").alias(f"s{k}") for k in range(ORDERS)))
+
+
+def buckets(unique: DataFrame) -> DataFrame:
+    """fp, bucket, size: the members of every bucket of more than one line."""
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"s{i}") for i in hand)) for k, hand in enumerate(_HANDS)))
+    members = unique.select("fp", F.explode(keys).alias("bucket"))
+    # Most buckets hold one line: they are counted by themselves, and only the others' lines are gathered.
+    shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    return materialise(members.join(sent(shared), "bucket"))
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Distinct a < b: all pairs of the small buckets; each line of a large one with the bucket's leaders."""
+    small = members.where(F.col("size") <= SMALL)
+    inside = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b")
+    large = members.where(F.col("size") > SMALL)
+    leaders = large.groupBy("bucket").agg(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)))
+    leaders = leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leaders"))
+    # Sent or shuffled by its size: one row per large bucket.
+    led = large.join(sent(materialise(leaders)), "bucket").select("fp", F.explode("leaders").alias("leader")).where("fp <> leader")
+    return inside.union(led.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b"))).distinct()
+
+
+def across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs a < b of members of one large bucket that the links so far leave in different components.  The members
+    of a bucket are spread by salt on one side and go to all its salts on the other."""
+    rooted = members.select("bucket", "fp", "size").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialise(rooted)
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    rooted = materialise(rooted.join(open_, "bucket"))
+    salts = F.ceil(F.col("size") / SALTED)
+    left = rooted.select("bucket", F.pmod(F.xxhash64("fp"), salts).alias("salt"), F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = rooted.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("fp").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, ["bucket", "salt"]).where("a < b and ra <> rb").select("a", "b").distinct()
+
+
+def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in LEAST_EQUAL values."""
+    pairs = materialise(pairs)
+    nodes = sent(materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
+    signed = materialise(unique.join(nodes, "fp", "left_semi"))
+    left, right = (signed.select(F.col("fp").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))) for x in "ab")
+    equal = sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(ORDERS)), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line."""
+    left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    sets = F.struct(shingle_hashes(F.col("la")).alias("x"), shingle_hashes(F.col("lb")).alias("y"))
+    jaccard = once(sets, lambda s: F.size(F.array_intersect(s.x, s.y)) / F.size(F.array_union(s.x, s.y)))
+    return both.where(jaccard >= threshold).select("a", "b")
+
+
+def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the components of lines at the threshold.  unique: fp, s0.. (signature).
+
+    Small buckets give all their pairs, large ones the pairs with their leaders; the members of a large bucket that these
+    links leave in different components are then all compared with each other.  So no bucket is cut, and a family
+    that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
+    members = buckets(unique)
+    pairs = materialise(alike(first_pairs(members), unique))
+    wanted = members.where(F.col("size") > SMALL).select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = materialise(lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"]))
+    links = materialise(verified(pairs, texts, threshold))
+    roots = components(links)
+    rest = materialise(across(members.where(F.col("size") > SMALL), roots).join(pairs, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    more = materialise(verified(alike(rest, unique), texts, threshold))
+    return components(materialise(links.union(more)))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """fp, root: for every line that has a copy or a near copy, the key of its component."""
+    unique = materialise(signatures(docs))
+    roots = near_roots(unique, docs, threshold)
+    copied = unique.where("n > 1").select("fp")
+    return copied.join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, dk, drop: of each document that loses lines, their numbers."""
-    every = materialise(occurrences(docs))
-    roots = sent(materialise(classes(every, docs, threshold)))
+    roots = sent(materialise(classes(docs, threshold)))
     # Each occurrence of a line of a class; a hot line is spread by salt.
-    found = every.select("doc_id", "dk", "no", "fp").join(roots, "fp").drop("fp")
+    found = lines(docs).select("doc_id", "dk", "no", "fp").join(roots, "fp").drop("fp")
     found = materialise(found.withColumn("salt", F.pmod(F.xxhash64("dk", "no"), F.lit(SALTS)).cast("int")))
     place = F.struct("doc_id", "dk", "no")
     first = found.groupBy("root", "salt").agg(F.min(place).alias("first")).groupBy("root").agg(F.min("first").alias("first"))

@@ -1,4 +1,4 @@
-"""Pairs of texts whose shingle sets are alike, for the operators on near copies of documents and of lines.
+"""Pairs of texts whose shingle sets are alike.
 
 Bands of MinHash values yield candidates, whose values are compared a few at a time: a pair goes as soon as the posterior
 probability that its similarity reaches the threshold falls below a tolerance.  What survives forms families; inside a
@@ -132,8 +132,8 @@ def summary(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[some], "n": n[some].astype("int64"), "root": root[some]})
 
 
-def _matrix(sigs: pd.Series, hashes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), "<u2").reshape(-1, hashes)
+def _matrix(sigs: pd.Series, scheme: Scheme) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), "<u2").reshape(-1, scheme.hashes)
 
 
 def _survivors(scheme: Scheme):
@@ -141,7 +141,7 @@ def _survivors(scheme: Scheme):
         for pdf in batches:
             if len(pdf):
                 at = np.arange(len(pdf))
-                keep, _ = scheme.prune(_matrix(pdf["sig"], scheme.hashes), _matrix(pdf["sig2"], scheme.hashes), at, at)
+                keep, _ = scheme.prune(_matrix(pdf["sig"], scheme), _matrix(pdf["sig2"], scheme), at, at)
                 yield pdf[["a", "b"]].iloc[keep]
 
     return run
@@ -223,7 +223,7 @@ def find_links(texts: DataFrame, fetch: Callable[[DataFrame], DataFrame], scheme
     parts = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES))
     families = materialise(families.select("id", "family").join(sizes.select("family", parts.alias("parts")), "family"))
     total = families.count()
-    found = fetch(families.select("id")).join(families, "id")
+    found = materialise(fetch(families.select("id")).join(families, "id"))
 
     bins = F.pmod(F.xxhash64("family"), F.lit(max(1, total // BIN_ROWS))).cast("int")
     in_bins = found.where("parts = 1").withColumn("bin", bins).select("bin", "family", "id", "text").groupBy("bin").applyInPandas(_bin(scheme), SUMMARY)
