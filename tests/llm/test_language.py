@@ -1,5 +1,6 @@
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -42,6 +43,32 @@ def test_forward_sums_all_segmentations(voc):
     assert (counts * [len(x) for x in voc.pieces]).sum() == pytest.approx(sum(len(w.encode()) + 1 for w in words))
 
 
+def by_table(word, p, voc):
+    """Sum over all ways of cutting a word of any length, by exact fractions."""
+    raw, at = b" " + word.encode(), {x: i for i, x in enumerate(voc.pieces)}
+    ways = [Fraction(1)] + [Fraction(0)] * len(raw)
+    for i in range(1, len(raw) + 1):
+        for j in range(i):
+            if raw[j:i] in at:
+                ways[i] += ways[j] * Fraction(p[at[raw[j:i]], 0])
+    return math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
+
+
+def test_long_words_and_long_pieces(voc):
+    """Words over any cut in bytes, in an alphabet of three bytes a letter, too long for a double, and of long pieces."""
+    p = np.random.default_rng(4).random((voc.size + 1, 1))
+    p[-1] = 0
+    p /= p.sum(0)
+    long_piece = max((x for x in voc.pieces if x.isascii() and x.strip().isalpha()), key=len)
+    assert len(long_piece) > 10 and voc.longest >= len(long_piece)
+    words = [long_piece.decode().strip(), long_piece.decode().strip() * 2, "internationalisation" * 2, "日本語の行です" * 12, "the" * 400]
+    with np.errstate(over="ignore"):
+        got = log_likelihoods(words, p, voc)[:, 0]
+        counts = expected_counts(words, np.ones(len(words)), p, voc)
+    assert got == pytest.approx([by_table(w, p, voc) for w in words], rel=1e-9)
+    assert (counts * [len(x) for x in voc.pieces]).sum() == pytest.approx(sum(len(w.encode()) + 1 for w in words))
+
+
 def test_vocabulary_finds_its_pieces(voc):
     with np.errstate(over="ignore"):
         h = np.array([Vocabulary._hash(x) for x in voc.pieces], np.uint64)

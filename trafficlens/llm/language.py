@@ -21,8 +21,8 @@ from .tokens import byte_pieces, default_path
 
 #: Documents of a language that the probabilities are fitted on, about (chosen by hash), and rounds of the fit.
 FIT_DOCS, ROUNDS = 1_500, 3
-#: Longest piece, and longest run of bytes that is segmented at once (longer words are cut there).
-PIECE, RUN = 10, 32
+#: Words of more bytes are summed by logarithms, since their likelihoods would underflow.
+LINEAR = 64
 #: Characters that a task scores at once.
 CHARS_AT_ONCE = 8_000_000
 UNKNOWN = "und"
@@ -41,13 +41,13 @@ def words_of(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """The pieces of a byte-level BPE file of up to PIECE bytes, found by a rolling hash in an open table."""
+    """The pieces of a byte-level BPE file that can occur in words, found by a rolling hash in an open table."""
 
     def __init__(self, path: str):
         # Words are lower-case letters after a space: no other byte of ASCII can occur in them.
         able = re.compile(rb" ?[a-z\x80-\xff]+| ")
-        self.pieces = [p for p in sorted(byte_pieces(path)) if len(p) <= PIECE and able.fullmatch(p)]
-        self.size = len(self.pieces)
+        self.pieces = [p for p in sorted(byte_pieces(path)[0]) if able.fullmatch(p)]
+        self.size, self.longest = len(self.pieces), max(map(len, self.pieces))
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         self.key, self.value = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, self.size, np.int32)
         self.depth = 1
@@ -80,20 +80,22 @@ class Vocabulary:
             left = left[~hit & (self.value[at[left]] != self.size)]
         return out
 
-    def spans(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """Words by length: (which words, length n, index [n + 1, PIECE + 1, words] of the piece of each length that
+    def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Words by length: (which words, length n, index [n + 1, longest + 1, words] of the piece of each length that
         ends at each place)."""
-        size = np.array([len(w) for w in words])
+        raw = [b" " + w.encode("utf-8", "replace") for w in words]
+        size = np.array(list(map(len, raw)))
         for n in np.unique(size):
             which = np.flatnonzero(size == n)
-            for some in np.array_split(which, -(-len(which) * int(n) // 400_000)):
-                b = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(-1, n).T.astype(np.uint64)
+            most = min(self.longest, int(n))
+            for some in np.array_split(which, -(-len(which) * int(n) * most // 4_000_000)):
+                b = np.frombuffer(b"".join(raw[i] for i in some), np.uint8).reshape(-1, n).T.astype(np.uint64)
                 h = np.zeros((n + 1, len(some)), np.uint64)
                 for i in range(n):
                     h[i + 1] = h[i] * _BASE + b[i] + np.uint64(1)
-                index = np.full((n + 1, PIECE + 1, len(some)), self.size, np.int32)
+                index = np.full((n + 1, most + 1, len(some)), self.size, np.int32)
                 power = np.uint64(1)
-                for length in range(1, min(PIECE, n) + 1):
+                for length in range(1, most + 1):
                     power = power * _BASE
                     span = h[length:] - h[: n + 1 - length] * power
                     index[length:, length] = self.find(span.ravel()).reshape(span.shape)
@@ -101,14 +103,16 @@ class Vocabulary:
 
 
 @cache
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str | None = None) -> Vocabulary:
+    """Without a path the default vocabulary, found where this runs."""
     with np.errstate(over="ignore"):
-        return Vocabulary(path)
+        return Vocabulary(path or default_path())
 
 
-def _runs(word: str) -> list[bytes]:
-    raw = b" " + word.encode("utf-8", "replace")
-    return [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
+def ends(index: np.ndarray, nothing: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, length, words that have a piece of this length that ends at i), in the order of i."""
+    for i, length in np.argwhere((index != nothing).any(2)).tolist():
+        yield i, length, np.flatnonzero(index[i, length] != nothing)
 
 
 def forward(index: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
@@ -116,45 +120,61 @@ def forward(index: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
     last one zero."""
     a = np.zeros((n + 1, index.shape[2], p.shape[1]))
     a[0] = 1
-    nothing = len(p) - 1
-    for i in range(1, n + 1):
-        for length in range(1, min(i, PIECE) + 1):
-            some = np.flatnonzero(index[i, length] != nothing)
-            a[i, some] += a[i - length, some] * p[index[i, length, some]]
+    for i, length, some in ends(index, len(p) - 1):
+        a[i, some] += a[i - length, some] * p[index[i, length, some]]
+    return a
+
+
+def forward_log(index: np.ndarray, n: int, log_p: np.ndarray) -> np.ndarray:
+    """The logarithm of `forward`, for words of any length."""
+    a = np.full((n + 1, index.shape[2], log_p.shape[1]), -np.inf)
+    a[0] = 0
+    for i, length, some in ends(index, len(log_p) - 1):
+        a[i, some] = np.logaddexp(a[i, some], a[i - length, some] + log_p[index[i, length, some]])
     return a
 
 
 def log_likelihoods(words: list[str], p: np.ndarray, voc: Vocabulary) -> np.ndarray:
     """[words, languages]; every byte is a piece and every piece has some probability, so no word is impossible."""
-    runs = [_runs(w) for w in words]
-    flat = [r for rs in runs for r in rs]
-    out = np.zeros((len(flat), p.shape[1]))
-    for which, n, index in voc.spans(flat):
-        out[which] = np.log(np.maximum(forward(index, n, p)[n], 1e-300))
-    first = np.cumsum([0, *map(len, runs)])[:-1]
-    return np.add.reduceat(out, first, axis=0) if len(flat) else out
+    out = np.zeros((len(words), p.shape[1]))
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    for which, n, index in voc.spans(words):
+        out[which] = np.log(forward(index, n, p)[n]) if n <= LINEAR else forward_log(index, n, log_p)[n]
+    return out
 
 
 def expected_counts(words: list[str], times: np.ndarray, p: np.ndarray, voc: Vocabulary) -> np.ndarray:
     """How often each piece is expected in the words of one language (p: one column)."""
-    runs = [(r, t) for w, t in zip(words, times, strict=True) for r in _runs(w)]
-    weight, out = np.array([t for _, t in runs], float), np.zeros(voc.size + 1)
-    for which, n, index in voc.spans([r for r, _ in runs]):
+    weight, out = np.array(times, float), np.zeros(voc.size + 1)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    for which, n, index in voc.spans(words):
+        found = list(ends(index, voc.size))
+        if n > LINEAR:
+            a = forward_log(index, n, log_p)[:, :, 0]
+            b = np.full_like(a, -np.inf)
+            b[n] = 0
+            for i, length, some in reversed(found):
+                b[i - length, some] = np.logaddexp(b[i - length, some], b[i, some] + log_p[index[i, length, some], 0])
+            for i, length, some in found:
+                at = index[i, length, some]
+                share = np.exp(a[i - length, some] + log_p[at, 0] + b[i, some] - a[n, some])
+                out += np.bincount(at, share * weight[which[some]], voc.size + 1)
+            continue
         a = forward(index, n, p)[:, :, 0]
         b = np.zeros_like(a)
         b[n] = 1
-        for i in range(n, 0, -1):
-            for length in range(1, min(i, PIECE) + 1):
-                b[i - length] += b[i] * p[index[i, length], 0]
+        for i, length, some in reversed(found):
+            b[i - length, some] += b[i, some] * p[index[i, length, some], 0]
         scale = weight[which] / np.maximum(a[n], 1e-300)
-        for i in range(1, n + 1):
-            for length in range(1, min(i, PIECE) + 1):
-                at = index[i, length]
-                out += np.bincount(at, a[i - length] * p[at, 0] * b[i] * scale, voc.size + 1)
+        for i, length, some in found:
+            at = index[i, length, some]
+            out += np.bincount(at, a[i - length, some] * p[at, 0] * b[i, some] * scale[some], voc.size + 1)
     return out[: voc.size]
 
 
-def fit(sample: DataFrame, langs: list[str], path: str) -> np.ndarray:
+def fit(sample: DataFrame, langs: list[str], path: str | None) -> np.ndarray:
     """Probabilities [pieces + 1, languages] by expectation maximisation; what comes to the driver is bounded by the
     vocabulary."""
     voc = vocabulary(path)
@@ -188,10 +208,11 @@ def identify(docs: DataFrame, train: DataFrame, tokenizer: str | None = None) ->
     one row per document.  `train` has doc_id, text and lang; rows without text or lang are ignored.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to learn from.
-    Equal likelihoods go to the first language by name.  Repeated rows are each judged; empty tables give none; long
-    texts are read whole, and only the words of a batch are held at once.
+    Equal likelihoods go to the first language by name.  Repeated rows are each judged, and learnt from once; empty
+    tables give none; further columns are not read, whatever their names.  Long texts are read whole, words of any length
+    are summed over all their segmentations, and only the words of a batch are held at once.
     """
-    path = tokenizer or default_path()
+    path = tokenizer
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -199,7 +220,7 @@ def identify(docs: DataFrame, train: DataFrame, tokenizer: str | None = None) ->
     if not langs:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     share = F.element_at(F.create_map(*(F.lit(x) for lang in langs for x in (lang, FIT_DOCS / counts[lang]))), F.col("lang"))
-    sample = materialise(train.where((F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003)) / 1_000_003.0) < share).repartition(8, F.xxhash64("doc_id")))
+    sample = materialise(train.where((F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1_000_003)) / 1_000_003.0) < share).dropDuplicates().repartition(8))
     p = fit(sample.select("text", "lang"), langs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,18 @@
 """Operator 10: mixture-controlled packing.
 
-Deficit round-robin over one queue of tokens per source: in each window every source is due its weight's share of the
-window; what rounding leaves unserved is carried to the next window.  With the queues' lengths known, what a source has
-been served after w windows has a closed form, so every task places its documents by itself and the deficits run on
-across windows and partitions without a pass over the data in order.
+Deficit round-robin over one queue of tokens per source: in each window (one sequence) every source is due its weight's
+share of the window; what rounding leaves unserved is carried to the next window.  With the queues' lengths known, what
+a source has been served after w windows has a closed form between the windows in which a queue runs dry, so every task
+places its documents by itself and the deficits run on across windows and partitions without a pass over the data in
+order.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import materialise, table
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 SEQUENCE = 2048
-#: Tokens of a window: 64 sequences, so that a source's run in a window is long and cuts few documents.
-WINDOW = 64 * SEQUENCE
 END = 1
 #: Characters that a task encodes at once.
 CHARS_AT_ONCE = 4_000_000
+#: Largest weight: weights times tokens stay within 64 bits up to 2**46 tokens.
+MOST_WEIGHT = 1 << 16
+#: Weights of the registered query by source (code points, null last), repeating.
+TARGETS = (3, 1, 2)
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, part, start (in the queue that this part has of the source), n, ids (16-bit), in file order."""
-    path = tokenizer or default_path()
     schema = T.StructType([docs.schema["doc_id"], docs.schema["source"], *T._parse_datatype_string("part int, start long, n long, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, lengths = encoder(path), TaskContext.get().partitionId(), {}
+        enc, part, lengths = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
             at = 0
@@ -64,43 +66,53 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """Queues in round-robin order.  `lengths`: tokens of each queue; `weights`: integers, their shares of a window."""
+    """Queues in round-robin order.  `lengths`: tokens of each queue; `weights`: integers of 1 to MOST_WEIGHT, their
+    shares of a window.  A queue that runs dry leaves its share to the others by their weights."""
 
     lengths: tuple[int, ...]
     weights: tuple[int, ...]
-    window: int = WINDOW
+    window: int = SEQUENCE
     sequence: int = SEQUENCE
 
-    def served(self, s: int, w: int) -> int:
-        """Tokens that queue s has been served before window w."""
-        return min(self.lengths[s], w * self.window * self.weights[s] // self._total)
-
-    @property
-    def _total(self) -> int:
-        return max(1, sum(self.weights))
-
-    def window_of(self, s: int, at: int) -> int:
-        w = at * self._total // (self.window * self.weights[s])
-        while self.served(s, w + 1) <= at:
-            w += 1
-        while self.served(s, w) > at:
-            w -= 1
-        return w
-
-    def runs(self) -> Callable[[int], list[tuple[int, int, int]]]:
-        @lru_cache(4096)
-        def of(w: int) -> list[tuple[int, int, int]]:
-            """For each queue its run in window w: first token, one past the last, place in the whole stream."""
-            a, b = ([self.served(s, x) for s in range(len(self.lengths))] for x in (w, w + 1))
-            place, out = sum(a), []
-            for x, y in zip(a, b, strict=True):
-                out.append((x, y, place))
-                place += y - x
-            return out
-
-        return of
-
-    def tail(self) -> list[int]:
+    @cached_property
+    def phases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Between two windows in which a queue runs dry: the first window, what each queue has been served before it,
+        and the weights of the queues that still hold tokens, added up.  There are at most as many as queues."""
+        w, served, out = 0, [0] * len(self.lengths), []
+        while True:
+            active = [s for s, n in enumerate(self.lengths) if served[s] < n]
+            total = max(1, sum(self.weights[s] for s in active))
+            out.append((w, tuple(served), total))
+            if not active:
+                break
+            windows = min(-(-(self.lengths[s] - served[s]) * total // (self.window * self.weights[s])) for s in active)
+            w += windows
+            served = [min(n, served[s] + windows * self.window * self.weights[s] // total) for s, n in enumerate(self.lengths)]
+        first, base, totals = zip(*out, strict=True)
+        return np.array(first, np.int64), np.array(base, np.int64).reshape(len(out), -1), np.array(totals, np.int64)
+
+    def served(self, w: np.ndarray) -> np.ndarray:
+        """[windows, queues]: tokens that each queue has been served before each window."""
+        first, base, totals = self.phases
+        p = np.searchsorted(first, w, "right") - 1
+        due = (w - first[p])[:, None] * self.window * np.array(self.weights, np.int64) // totals[p][:, None]
+        return np.minimum(np.array(self.lengths, np.int64), base[p] + due)
+
+    def window_of(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The window that serves token `at` of queue s."""
+        first, base, totals = self.phases
+        row = np.arange(len(s))
+        p = (base.T[s] <= at[:, None]).sum(1) - 1
+        w = first[p] + (at - base[p, s]) * totals[p] // (self.window * np.array(self.weights, np.int64)[s])
+        while True:
+            late = self.served(w)[row, s] > at
+            early = self.served(w + 1)[row, s] <= at
+            if not (late.any() or early.any()):
+                return w
+            w = w - late + early
+
+    @cached_property
+    def tail(self) -> np.ndarray:
         """Where the sequences after the last full one begin: lengths that are powers of two need no padding."""
         total = sum(self.lengths)
         at, left = total - total % self.sequence, total % self.sequence
@@ -109,41 +121,58 @@ class Plan:
             size = 1 << (left.bit_length() - 1)
             starts.append(at)
             at, left = at + size, left - size
-        return starts
-
-
-def pieces(plan: Plan, s: int, at: int, n: int, runs: Callable) -> Iterator[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of the pieces of a document whose tokens are at .. at + n of queue s."""
-    tail, full = plan.tail(), sum(plan.lengths) // plan.sequence
-    done = 0
-    while done < n:
-        first, stop, place = runs(plan.window_of(s, at + done))[s]
-        g = place + at + done - first
-        if g < full * plan.sequence:
-            seq, base = divmod(g, plan.sequence)
-            base, end = g - base, g - base + plan.sequence
-        else:
-            k = max(i for i, x in enumerate(tail) if x <= g)
-            seq, base = full + k, tail[k]
-            end = tail[k + 1] if k + 1 < len(tail) else sum(plan.lengths)
-        length = min(n - done, stop - at - done, end - g)
-        yield done, length, seq, g - base
-        done += length
-
-
-def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, tokenizer: str | None = None, window: int = WINDOW, sequence: int = SEQUENCE) -> DataFrame:
+        return np.array(starts, np.int64)
+
+    def sequence_of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequence that holds place g of the whole stream, and the last sequence's index before the tail."""
+        full = sum(self.lengths) // self.sequence
+        in_tail = full + np.searchsorted(self.tail, g, "right") - 1
+        return np.where(g < full * self.sequence, g // self.sequence, in_tail)
+
+    def starts_of(self, sequence: np.ndarray) -> np.ndarray:
+        full = sum(self.lengths) // self.sequence
+        tail = np.append(self.tail, sum(self.lengths))
+        return np.where(sequence < full, sequence * self.sequence, tail[np.clip(sequence - full, 0, len(tail) - 1)])
+
+    def pieces(self, s: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start, length, sequence, offset) of the pieces of documents whose tokens are at .. at + n of queue s."""
+        w, last = self.window_of(s, at), self.window_of(s, at + n - 1)
+        row = np.repeat(np.arange(len(s)), last - w + 1)
+        w = w[row] + _inner(last - w + 1)
+        q = s[row]
+        before, after = self.served(w), self.served(w + 1)
+        first, stop = before[np.arange(len(q)), q], after[np.arange(len(q)), q]
+        earlier = np.where(np.arange(len(self.lengths)) < q[:, None], after, before).sum(1)
+        low, high = np.maximum(at[row], first), np.minimum((at + n)[row], stop)
+        some = high > low
+        row, low, high, place = row[some], low[some], high[some], (earlier - first + low)[some]
+        # A run is cut where sequences end.
+        seq, end = self.sequence_of(place), self.sequence_of(place + high - low - 1)
+        cut = np.repeat(np.arange(len(row)), end - seq + 1)
+        seq = seq[cut] + _inner(end - seq + 1)
+        begin = np.maximum(place[cut], self.starts_of(seq))
+        stop = np.minimum((place + high - low)[cut], self.starts_of(seq + 1))
+        return row[cut], (low - at[row])[cut] + begin - place[cut], stop - begin, seq, begin - self.starts_of(seq)
+
+
+def _inner(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, tokenizer: str | None = None, window: int = SEQUENCE, sequence: int = SEQUENCE) -> DataFrame:
     """Packs every token of every document into sequences; one row per piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, and the source.
 
-    `weights`: integer shares of a window by source; by default the sources' own shares, so that all queues last to the
-    end.  A source without a weight gets 1.  When a queue runs dry the others go on in proportion to each other.
-    All sequences are full but the last few, whose lengths are powers of two.
+    `weights`: integer shares of a window by source (1 to 65536); by default the sources' own shares, so that all queues
+    last to the end.  A source without a weight gets 1.  When a queue runs dry the others go on in proportion to each
+    other.  All sequences are full but the last few, whose lengths are powers of two.
 
     A null or empty text is a document of the end id alone; a null source is a source; a repeated row is a document of
-    its own; a very long text is cut over as many sequences as it needs; an empty table gives an empty result.
+    its own; a very long text is cut over as many sequences as it needs; an empty table gives an empty result; further
+    columns of docs are not read, whatever their names.  Ids and places follow the order of the files' rows.
     One number per source is held by the driver and each task: sources are the components of a mixture, not hosts.
     """
-    spark = docs.sparkSession
     rows = materialise(tokenise(docs, tokenizer))
     parts = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -151,29 +180,33 @@ def pack(docs: DataFrame, weights: dict[str | None, int] | None = None, tokenize
     lengths = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     queues = sorted(lengths, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(queues)}
-    plan = Plan(tuple(lengths[s] for s in queues), tuple(lengths[s] if weights is None else max(1, weights.get(s, 1)) for s in queues), window, sequence)
+    total = max(1, sum(lengths.values()))
+    share = [lengths[s] * MOST_WEIGHT // total if weights is None else weights.get(s, 1) for s in queues]
+    plan = Plan(tuple(lengths[s] for s in queues), tuple(min(MOST_WEIGHT, max(1, x)) for x in share), window, sequence)
     schema = T.StructType([docs.schema["doc_id"], docs.schema["source"], *T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = plan.runs()
         for batch in batches:
-            source, base, start = (batch.column(c).to_pylist() for c in ("source", "base", "start"))
-            out, row = [], []
-            for i, raw in enumerate(batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), "<u2").astype("<u4")
-                for first, length, seq, offset in pieces(plan, place[source[i]], base[i] + start[i], len(ids), runs):
-                    out.append((first, length, zlib.crc32(ids[first : first + length].tobytes()), len(ids), seq, offset))
-                    row.append(i)
+            if not batch.num_rows:
+                continue
+            queue = np.array([place[s] for s in batch.column("source").to_pylist()], np.int64)
+            at, n = (np.array(batch.column(c)) for c in ("at", "n"))
+            row, start, length, seq, offset = plan.pieces(queue, at, n)
+            ids = [np.frombuffer(raw.as_buffer(), "<u2").astype("<u4").tobytes() for raw in batch.column("ids")]
+            crc = [zlib.crc32(ids[r][4 * a : 4 * b]) for r, a, b in zip(row.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
             # Only the small columns: the ids of a long document would come once per piece.
-            took = batch.select(["doc_id", "source"]).take(pa.array(row, pa.int64()))
-            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)]
+            took = batch.select(["doc_id", "source"]).take(pa.array(row))
+            columns = [pa.array(c, pa.int64()) for c in (start, length, crc, n[row], seq, offset)]
             yield pa.RecordBatch.from_arrays([took.column("doc_id"), took.column("source"), *columns], names=schema.names)
 
     # parts is a written table: Spark sends it to all executors if its size allows, else both sides are shuffled.
     bases = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
     placed = rows.join(bases, (rows["part"] == bases["p"]) & rows["source"].eqNullSafe(bases["s"]))
-    return placed.select("doc_id", "source", "base", "start", "ids").mapInArrow(run, schema)
+    return placed.select("doc_id", "source", (F.col("base") + F.col("start")).alias("at"), "n", "ids").mapInArrow(run, schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # One name per source, as many as the mixture has components.
+    sources = sorted((r["source"] for r in docs.select("source").distinct().collect()), key=lambda s: (s is None, s or ""))
+    return pack(docs, {s: TARGETS[i % len(TARGETS)] for i, s in enumerate(sources)})
