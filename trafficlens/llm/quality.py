@@ -104,13 +104,16 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     `labels` has doc_id and quality; rows whose quality is neither 0 nor 1 are ignored, and `learn` (on doc_id) says
     which may be learnt from.  About FIT_ROWS of them fit the weights; the threshold is a quantile over all of them.
     Without rows of both labels there is nothing to rank, and every score is 0.5.  Null and empty texts are scored as
-    texts without words; equal texts get equal scores; repeated rows are each scored; an empty table gives none.
+    texts without words; equal texts get equal scores; repeated rows are each scored, and learnt from once; an empty table gives none.  A text
+    of any length is read whole, and further columns of docs and labels are not read, whatever their names.
     """
     x = materialise(featurise(docs))
     known = labels.where(F.col("quality").isin(0, 1)).where(F.lit(True) if learn is None else learn)
-    known = materialise(x.join(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "doc_id"))
+    known = materialise(x.join(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "doc_id").dropDuplicates())
     share = FIT_ROWS / max(1, known.count())
-    fit = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share).toPandas().sort_values("doc_id")
+    # Chosen by what a row holds, which is there once: rows that repeat an id don't come to the driver all together.
+    chosen = F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(1_000_003)) / 1_000_003.0 < share
+    fit = known.where(chosen).toPandas().sort_values(["doc_id", *FEATURES])
     y, m = fit["quality"].to_numpy(int), fit[list(FEATURES)].to_numpy(float)
     if len(set(y)) < 2:
         return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
