@@ -30,6 +30,7 @@ def test_urls(spark):
     got = judge_urls(df, RULES).collect()
     assert len(got) == 2 * len(cases)
     assert all((r.host, r.path, r.rule, r.verdict) == cases[r.page_id][1:] for r in got)
+    assert sorted(map(str, judge_urls(df, RULES, hot_pages=3).collect())) == sorted(map(str, got))  # the empty URL is hot
     assert judge_urls(df.limit(0), RULES).collect() == []
     wild = judge_urls(df, [Rule("block", "", "*"), Rule("allow", "com", "/*/x")]).where("page_id in (0, 1)").collect()
     assert {(r.page_id, r.verdict) for r in wild} == {(0, "allow"), (1, "block")}
@@ -76,6 +77,11 @@ def test_top_k(spark):
     for q, found in got.items():
         want = sorted(((-int(data[q] @ x), i) for i, x in data.items() if i != q))[:10]
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    # A query id that repeats: the least of its vectors is the query, the others are neither query nor candidate.
+    twice = v.union(v.where("id = 100").select("id", F.transform("v", lambda e: e - 5).alias("v")))
+    want = sorted(((-int((data[100] - 5) @ x), i) for i, x in data.items() if i != 100))[:10]
+    got = [(r.rank, r.vec_id, -r.score) for r in top_k(twice, twice.where("id = 100"), 10).collect()]
+    assert sorted(got) == [(k + 1, i, s) for k, (s, i) in enumerate(want)]
     few = v.where("id in (0, 1, 2)")
     assert top_k(few, few.where("id = 0"), 10).count() == 2 and top_k(v.limit(0), v.limit(0)).collect() == []
 

@@ -32,9 +32,10 @@ def quality_weight(n_words: Column, n_chars: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 - F.abs(mean - 6.0) / 10.0)
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A reproducible number in (0, 1) of the id: 52 bits of an MD5."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 13), 16, 10)
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A reproducible number in (0, 1) of the id and text (ids may be null or repeat): 52 bits of an MD5."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.coalesce(text, F.lit("")))
+    bits = F.conv(F.substring(F.md5(whole), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -70,19 +71,24 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("level.v") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, weight.
+def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 9, quality: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, weight, source, dk (key of the row's id and text).
+
+    `quality`: a positive number of each row of docs, such as a classifier's score (nulls and numbers below 0.01 count as
+    0.01); by default `quality_weight` of the text.
 
     `taken` counts the words that the mix takes of the document, whole epochs included; the one document at which a
     source's budget ends gives its leading words only, so that each source's words come to its target rounded down.
     Null or empty texts have size 0 and are never taken; a null source is a source.  Ties of the keys go to the smaller
-    (doc_id, size); rows that repeat a doc_id and size are interchangeable.  Empty tables give an empty result.
+    (doc_id, size); rows that repeat a doc_id and text are interchangeable, and lie in one range of keys.  Long texts are
+    read whole.  Empty tables give an empty result; further columns are not read, whatever their names.
     """
     n = word_count(F.col("text"))
     rows = materialise(
-        docs.select("doc_id", "source", n.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-        .withColumn("weight", quality_weight(F.col("size"), F.col("chars")))
-        .withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("weight"))
+        docs.select("doc_id", "source", n.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), F.xxhash64("doc_id", "text").alias("dk"), *([] if quality is None else [F.greatest(F.coalesce(quality, F.lit(0.01)), F.lit(0.01)).alias("weight")]))
+        .withColumn("weight", quality_weight(F.col("size"), F.col("chars")) if quality is None else F.col("weight"))
+        .withColumn("key", -F.ln("u") / F.col("weight"))
+        .drop("u", "chars")
         .withColumn("range", range_of(F.col("key")))
     )
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     plan = plan.join(ends, F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
     plan = materialise(plan.withColumnRenamed("source", "s"))
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("dk"), F.lit(SALTS)).cast("int"))
     copies = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     judged = salted.join(copies, (salted["salt"] == copies["salt"]) & F.col("source").eqNullSafe(F.col("s"))).drop("s", "salt")
 
@@ -119,7 +125,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     # A range before the last one is taken whole, so its documents count as starting at 0.
     part = F.when(F.col("range") < F.col("end.range"), F.col("size")).otherwise(part)
     both = edge.unionByName(clear)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "weight", "source")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "weight", "source", "dk")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +135,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
   coalesce(length(text), 0) AS chars,
-  (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':9'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+  (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':9:' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (SELECT *, -ln(u) / greatest(0.1::DOUBLE, 1.0::DOUBLE - abs(chars::DOUBLE / greatest(size, 1)::DOUBLE - 6.0::DOUBLE) / 10.0::DOUBLE) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,

@@ -108,13 +108,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors, queries: (id, v array<long>) -> query_id, rank (from 1), vec_id, score: each query's k highest integer
     inner products over all vectors but its own id, ties to the smaller vec_id.
 
+    A query id stands for one query: of queries that repeat an id, the least vector (compared component by component)
+    counts.  Candidates that repeat an id are separate candidates; those of the query's own id are no candidates.
     A query meets only vectors of its dimension.  Queries are cut into blocks and vectors into buckets of bounded size,
     so a common vector or length never gathers in one task, and a block meets a bucket only if some query of it can
-    still score there.  Repeated ids are separate candidates; empty tables give an empty result.
+    still score there.  Where all vectors are about equally long, no bucket can be skipped by length: every block then
+    meets every bucket, and the pruning by coordinates inside a bucket does the work.  Null vectors and vectors without a
+    query's dimension take no part; further columns are not read; empty tables give an empty result.
     """
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     rows = materialise(vectors.withColumn("norm", norm).withColumn("dim", F.size("v")))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     queries = materialise(queries.withColumn("norm", norm).withColumn("dim", F.size("v")))
     n_queries = queries.count()
     if not n_queries or rows.isEmpty():
@@ -162,8 +167,9 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(v) AS v FROM e WHERE vec_id % 100 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0),
+  FROM q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 #: The index is sent to every executor up to this many rules; beyond it, it is joined by shuffle.
 BROADCAST_RULES = 20_000
+#: A URL of at least so many pages, or one in so many of all, is hot: at most HOT_SHARE URLs are.
+HOT_PAGES, HOT_SHARE = 100_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -58,12 +60,14 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), labels, segments))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", hot_pages: int = HOT_PAGES) -> DataFrame:
     """One row per page: id, host, path, rule, verdict.  The longest fitting rule wins (ties: the smaller name); without
     one, rule is null and the verdict is `default`, as this method has no opinion on a URL that no pattern fits.
 
     Nulls: a null URL or one without `://` has an empty host and path, which only rules with neither can fit.  Repeated
-    rows are each judged.  An empty table gives an empty result.  Other columns of the input are not read.
+    rows are each judged.  An empty table gives an empty result.  Other columns of the input are not read, whatever their
+    names.  A URL of any length is read whole.  Rules meet distinct URLs; the verdicts of hot URLs (such as the empty one
+    of all null and scheme-less URLs) are sent to all executors, the others' are joined by URL.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
@@ -88,7 +92,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
         .groupBy("host", "path")
         .agg(F.min_by(F.struct("rule", "action"), F.struct(-F.col("length"), F.col("rule"))).alias("hit"))
     )
-    judged = pages.join(found, ["host", "path"], "left")
+    keys, n = ["host", "path"], pages.count()
+    hot = F.broadcast(materialise(urls.where(F.col("n") >= max(hot_pages, n // HOT_SHARE)).drop("n").join(found, keys, "left")))
+    judged = pages.join(hot, keys).unionByName(pages.join(hot.drop("hit"), keys, "left_anti").join(found, keys, "left"))
     return judged.select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))
 
 
