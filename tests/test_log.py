@@ -209,3 +209,19 @@ def test_publish(spark, tmp_path):
     assert base64.b64decode(y["headers"][0][1][6:]) == b"u:[honeytoken]" and base64.b64decode(y["body"]) == b"\0[honeytoken]" and y["attacks"]
     assert by["credential", "x"]["password"] == "[redacted]" and by["credential", "y"]["password"] == "p"
     assert publish.publish(spark, f"{src}/*.jsonl*", str(dst), manifest, key, "salt", now).count() == 1
+    # A run whose manifest was lost is repeated: the day is replaced, not added to; its entry describes the same files.
+    (entry,) = manifest.collect()
+    (again,) = publish.publish(spark, f"{src}/*.jsonl*", str(dst), empty, key, "salt", now).collect()
+    assert again.rows == 5 and again.path.endswith("/stream=events/day=2026-01-01") and again.bytes == sum(p.stat().st_size for p in dst.rglob("*.gz"))
+    assert sum(len(gzip.open(p, "rt").read().splitlines()) for p in dst.rglob("*.gz")) == 5 and len(entry.sha256) == 64
+    # A day of junk alone leaves no file, and is done with; the earlier day stays as it is.
+    (src / "2026-01-03.jsonl").write_text("junk\n")
+    both = publish.publish(spark, f"{src}/*.jsonl*", str(dst), materialise(manifest), key, "salt", now)
+    assert [(r.day, r.rows, r.malformed, r.path is None) for r in both.collect()] == [("2026-01-01", 5, 1, False), ("2026-01-03", 0, 1, True)]
+    assert publish.publish(spark, f"{src}/*.jsonl*", str(dst), materialise(both), key, "salt", now).count() == 2
+    # A Basic value of any length is searched to its end.
+    far = base64.b64encode((f"u:{'x' * 200_000}{secret}").encode()).decode()
+    write(src / "2026-01-04.jsonl", [{"kind": "request", "rid": "far", "path": "/", "headers": [["Authorization", f"Basic {far}"]]}])
+    publish.publish(spark, f"{src}/*.jsonl*", str(dst), materialise(both), key, "salt", now)
+    text = "".join(gzip.open(p, "rt").read() for p in (dst / "stream=events" / "day=2026-01-04").glob("*.gz"))
+    assert text and secret not in base64.b64decode(text.split("Basic ")[1].split('"')[0]).decode() if "Basic " in text else text

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROUNDS, LOOKUP_ROUNDS = 3, 10
 
@@ -27,41 +23,40 @@ def url_layers(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).when(~text.contains("%"), plain).otherwise(F.array_distinct(F.array(text, one, two, three)))
 
 
-# Lookups that stand for a literal.
-_CASE = re.compile(r"\$\{(lower|upper):([^{}$]*)\}", re.IGNORECASE)
-_DATE = re.compile(r"\$\{date:'([^'{}$]*)'\}", re.IGNORECASE)
-_DEFAULT = re.compile(r"\$\{[^{}$]*?:-([^{}$]*)\}")
+#: An innermost lookup, of any kind.
+LOOKUP = r"\$\{[^{}$]*\}"
 
 
-def _collapse(text: str | None) -> str | None:
-    for _ in range(LOOKUP_ROUNDS if text and "${" in text else 0):
-        was = text
-        text = _CASE.sub(lambda m: m[2].lower() if m[1].lower() == "lower" else m[2].upper(), text)
-        text = _DEFAULT.sub(r"\1", _DATE.sub(r"\1", text))
-        if text == was:
-            break
-    return text
+def _resolved(lookup: Column) -> Column:
+    """What an innermost lookup stands for, if that is a literal: `lower:` and `upper:` change case, a quoted date format
+    is itself, and `:-` begins a default.  Any other lookup stays."""
+    inner = lambda first, last: F.substr(lookup, F.lit(first), F.length(lookup) - F.lit(first + last - 1))
+    low, at = F.lower(lookup), F.instr(lookup, ":-")
+    return (
+        F.when(low.startswith("${lower:"), F.lower(inner(9, 1)))
+        .when(low.startswith("${upper:"), F.upper(inner(9, 1)))
+        .when(low.rlike(r"(?s)^\$\{date:'[^']*'\}$"), inner(9, 2))
+        .when(at > 0, F.substr(lookup, at + 2, F.length(lookup) - at - 2))
+        .otherwise(lookup)
+    )
 
 
-@F.pandas_udf(T.StringType())
-def _collapsed(texts: pd.Series) -> pd.Series:
-    return texts.map(_collapse, na_action="ignore")
+def _one_round(text: Column) -> Column:
+    """All innermost lookups of the text resolved: what lies between them, and they, put together again."""
+    between, lookups = F.split(text, LOOKUP, -1), F.regexp_extract_all(text, F.lit(LOOKUP), F.lit(0))
+    pairs = F.arrays_zip(between.alias("gap"), F.transform(lookups, _resolved).alias("value"))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], F.coalesce(p["value"], F.lit("")))), "")
 
 
 def deobfuscate(text: Column) -> Column:
-    """Collapses literal lookups, innermost first.  Texts without `${` stay in the JVM."""
-    return F.when(text.contains("${"), _collapsed(F.when(text.contains("${"), text))).otherwise(text)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _all_collapsed(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: [_collapse(t) for t in ts], na_action="ignore")
+    """Resolves literal lookups from the inside out, up to LOOKUP_ROUNDS deep."""
+    deep = F.aggregate(F.sequence(F.lit(1), F.lit(LOOKUP_ROUNDS)), text, lambda t, _: F.when(t.contains("${"), _one_round(t)).otherwise(t))
+    return F.when(text.contains("${"), deep).otherwise(text)
 
 
 def deobfuscate_all(texts: Column) -> Column:
-    """Each text of an array with its lookups collapsed."""
-    some = F.exists(texts, lambda t: t.contains("${"))
-    return F.when(some, _all_collapsed(F.when(some, texts))).otherwise(texts)
+    """Each text of an array with its lookups resolved."""
+    return F.transform(texts, deobfuscate)
 
 
 def valid_text(data: Column) -> Column:

@@ -47,7 +47,7 @@ def planted_candidates(texts: DataFrame) -> DataFrame:
 def honeytoken_hits(log: DataFrame, key: bytes) -> DataFrame:
     """rid, kind, location, minted_at, age_s, same_ip, token: replays in requests (rid, ts, ip, path, raw_query, headers,
     body), also inside Basic values; each (kind, location, token) once."""
-    value = lambda h: F.trim(F.substring(h[1], 7, 100_000))
+    value = lambda h: F.trim(F.substr(h[1], F.lit(7)))
     heads = F.transform("headers", lambda h: F.struct(F.concat(F.lit("header:"), h[0]).alias("location"), h[1].alias("text")))
     basic = F.transform(F.filter("headers", lambda h: (F.lower(h[0]) == "authorization") & F.lower(h[1]).startswith("basic ")), lambda h: F.struct(F.concat(F.lit("header:"), h[0]).alias("location"), latin1(F.try_to_binary(value(h), F.lit("base64"))).alias("text")))
     part = lambda name, c: F.struct(F.lit(name).alias("location"), c.alias("text"))

@@ -32,7 +32,7 @@ def drop_token_fields(log: DataFrame) -> DataFrame:
 
 def _basic(value: Column) -> Column:
     """The credentials of a Basic value, else null."""
-    return F.when(F.lower(value).startswith("basic "), latin1(F.try_to_binary(F.trim(F.substring(value, 7, 100_000)), F.lit("base64"))))
+    return F.when(F.lower(value).startswith("basic "), latin1(F.try_to_binary(F.trim(F.substr(value, F.lit(7))), F.lit("base64"))))
 
 
 def _body(log: DataFrame) -> Column:
@@ -139,7 +139,8 @@ def publish(spark: SparkSession, src: str, dst: str, manifest: DataFrame, key: b
     """Publishes the finished days of src that the manifest lacks, and returns the new manifest (to be written last).
 
     `opened` may look at the events before they are hidden.  Days are known by stream and day; running twice publishes
-    nothing twice.
+    nothing twice, also after a run that was lost between its data and its manifest: a day's folder is replaced whole.
+    A day of which no event is left has an entry without a path.  The archive's earlier days are not read.
     """
     files = materialise(source.pending_days(source.day_files(spark, src), manifest, now, lag_minutes))
     every, bad = source.with_malformed(spark, src)
@@ -155,5 +156,7 @@ def publish(spark: SparkSession, src: str, dst: str, manifest: DataFrame, key: b
     rows = public.groupBy("stream", "day").agg(F.count("*").alias("rows"))
     lost = leaks.select(F.col("seq.file").alias("file")).groupBy("file").agg(F.count("*").alias("leaked"))
     counts = files.join(bad, "file", "left").join(lost, "file", "left").groupBy("stream", "day").agg(F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"), (F.coalesce(F.sum("leaked"), F.lit(0)) + F.coalesce(F.sum("not_events"), F.lit(0))).alias("dropped"))
-    new = sinks.published_files(spark, dst).join(counts, ["stream", "day"]).join(rows, ["stream", "day"], "left").fillna(0, ["rows"])
+    rows = materialise(rows)
+    days = [(r["stream"], r["day"]) for r in rows.select("stream", "day").collect()]
+    new = counts.join(rows, ["stream", "day"], "left").join(sinks.published_days(spark, dst, days), ["stream", "day"], "left").fillna(0, ["rows", "bytes"])
     return sinks.update_manifest(manifest, new, now)
