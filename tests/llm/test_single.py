@@ -123,6 +123,27 @@ def test_pipeline(spark):
     assert sum(labels.get(i, 1) == 0 for i in ids) <= 0.02 * len(ids)
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids and texts, an id with two texts, repeated rows, columns of the stages' own names and none of n_chars."""
+    good, bad = "A quiet evening in the village, with bread and cheese, and people who talk about the old mill by the river.", "BUY!!! NOW!!! $$$ ### @@@"
+    rows = [(1, good, "a", 1, "p"), (1, bad, "a", 2, "p"), (None, bad + " BUY", "a", 3, "p"), (None, good + " Then they sleep.", None, 4, "p"), (2, None, "a", 5, "p"), (3, "", "b", 6, "p"), *[(4, "Every year the same things happen here, and nobody in the town minds them very much, or so they say.", "b", 7, "p")] * 2]
+    rows += [(100 + i, f"{good if i % 2 else bad} {i * 7919 % 1000}", "c", 8, "p") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int, predicted string")
+    spark.createDataFrame([(100 + i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        out[name] = kept.collect()
+    judged = {r.k for r in out["quality classifier"]}
+    assert {1, 4, 7} <= judged and not {2, 3} & judged
+    near = [r.k for r in out["n-gram Jaccard join"]]
+    assert {1, 2, 3, 4, 5, 6, 7} <= set(near) and near.count(7) == 1
+    assert all(r.text for r in out["mixing sources to target weights"])
+    assert corpus_pipeline.packing(spark, docs.limit(0), "").collect() == [] and corpus_pipeline.packing(spark, docs, "").count() >= len(rows)
+
+
 def test_ranges_rise_with_keys_and_stay_small(spark):
     for weight in (0.1, 0.15, 0.3, 0.55, 1.0):
         key = -F.ln((F.col("id") + 0.5) / 200_000) / weight

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import components, materialise, shared_dir
 
-__all__ = ["SENT_ROWS", "components", "crc_mod", "materialise", "meet", "sent", "shared_dir", "table"]
+__all__ = ["SENT_ROWS", "components", "crc_mod", "materialise", "meet", "row_key", "sent", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def meet(pairs: DataFrame, left: DataFrame, left_on: list[str], right: DataFrame
     return a.join(b, pairs.columns)
 
 
+def row_key() -> Column:
+    """64-bit key of a document's row: its doc_id and text, either of which may be null or repeat."""
+    return F.xxhash64("doc_id", "text")
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(0))

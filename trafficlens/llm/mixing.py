@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, table
+from .common import materialise, row_key, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Ranges of the keys of one source: a source is summed by range, and only the range where its budget ends is sorted.
@@ -71,11 +71,11 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("level.v") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 9, quality: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 9, quality: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, weight, source, dk (key of the row's id and text).
 
-    `quality`: a positive number of each row of docs, such as a classifier's score (nulls and numbers below 0.01 count as
-    0.01); by default `quality_weight` of the text.
+    `quality`: (dk, weight) with a weight for each dk, such as a classifier's score (missing ones and those below 0.01
+    count as 0.01); by default `quality_weight` of the text.
 
     `taken` counts the words that the mix takes of the document, whole epochs included; the one document at which a
     source's budget ends gives its leading words only, so that each source's words come to its target rounded down.
@@ -83,10 +83,17 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     (doc_id, size); rows that repeat a doc_id and text are interchangeable, and lie in one range of keys.  Long texts are
     read whole.  Empty tables give an empty result; further columns are not read, whatever their names.
     """
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        if quality is None:
+            return rows.withColumn("weight", quality_weight(F.col("size"), F.col("chars")))
+        best = quality.groupBy("dk").agg(F.max("weight").alias("weight"))
+        return rows.join(best, "dk", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.01)), F.lit(0.01)))
+
     n = word_count(F.col("text"))
     rows = materialise(
-        docs.select("doc_id", "source", n.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), F.xxhash64("doc_id", "text").alias("dk"), *([] if quality is None else [F.greatest(F.coalesce(quality, F.lit(0.01)), F.lit(0.01)).alias("weight")]))
-        .withColumn("weight", quality_weight(F.col("size"), F.col("chars")) if quality is None else F.col("weight"))
+        docs.select("doc_id", "source", n.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), row_key().alias("dk"))
+        .transform(weighed)
         .withColumn("key", -F.ln("u") / F.col("weight"))
         .drop("u", "chars")
         .withColumn("range", range_of(F.col("key")))

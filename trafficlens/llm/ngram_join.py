@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, sent, table
+from .common import components, materialise, row_key, sent, table
 from .near_pairs import Scheme, find_links
 
 WORDS = 5
@@ -89,7 +89,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (null for a null text), n shingles, signature."""
+    """doc_id, dk, k1, k2 (null for a null text), n shingles, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,31 +100,31 @@ def sign(docs: DataFrame) -> DataFrame:
                 h, n = shingles(words)
                 sig = SCHEME.signatures(h, n)
                 low, high = (pa.array(k, pa.int64()) for k in zip(*keys, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), low, high, pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in ("doc_id", "dk")), low, high, pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "dk", "k1", "k2", "n", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, dk long, k1 long, k2 long, n long, sig binary")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, kept: one row per row of docs.
+    """doc_id, class_id, n_links, n_copies, kept, dk (key of the row's id and text): one row per row of docs.
 
     class_id is the smallest doc_id reachable by links, n_links the number of other texts whose five-word shingle sets
     have a Jaccard similarity of at least the threshold, n_copies the rows with this same text (but for case and white
     space), and kept marks the document that stands for its class.
 
     A null text or null doc_id links with nothing and is kept, class_id being its own doc_id; texts without words are
-    copies of each other only; a text of one to four words is a single shingle.  Repeated rows are copies, and all rows
-    with the kept doc_id are kept.  Rows that share a doc_id but not the text are texts by themselves.  An empty table
+    copies of each other only; a text of one to four words is a single shingle.  Repeated rows are copies, and all copies of
+    the kept text with the kept doc_id are kept.  Rows that share a doc_id but not the text are texts by themselves.  An empty table
     gives an empty result; long texts are read whole; further columns of docs are not read, whatever their names.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("dk"))
     rows = materialise(sign(docs))
     texts = rows.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
     texts = materialise(texts.agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.min("sig").alias("sig")))
 
     def fetch(ids: DataFrame) -> DataFrame:
         firsts = materialise(texts.select("first", F.col("k1").alias("id")).join(ids, "id", "left_semi"))
-        found = docs.where("text is not null").join(sent(firsts.select(F.col("first").alias("doc_id")).distinct()), "doc_id")
+        found = docs.where("text is not null").drop("dk").join(sent(firsts.select(F.col("first").alias("doc_id")).distinct()), "doc_id")
         return keyed(found).select(F.col("k1").alias("id"), "text").join(sent(ids), "id", "left_semi").dropDuplicates(["id"])
 
     links = find_links(texts.select(F.col("k1").alias("id"), "n", "sig"), fetch, replace(SCHEME, threshold=threshold))
@@ -132,17 +132,19 @@ def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     counts = links.groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = texts.select("k1", "k2", "first", "n_copies").join(counts.withColumnRenamed("id", "k1"), "k1", "left").join(roots.withColumnRenamed("node", "k1"), "k1", "left")
     classes = materialise(classes)
-    least = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    classes = classes.join(least, "root", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "n_copies", "n_links", F.coalesce("least", "first").alias("class"))
+    text = F.struct("first", "k1", "k2")
+    least = classes.where("root is not null").groupBy("root").agg(F.min(text).alias("least"))
+    leads = F.coalesce(F.col("least") == text, F.lit(True)).alias("leads")
+    classes = classes.join(least, "root", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "n_copies", "n_links", F.coalesce("least.first", "first").alias("class"), leads)
     classes = materialise(classes)
     # One text may have a third of all rows: the rows are spread by salt, and each class goes to all salts.
     salts = 16
-    salted = rows.select("doc_id", "k1", "k2").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    salted = rows.select("doc_id", "dk", "k1", "k2").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     classes = classes.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = salted.join(classes, (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("salt") == F.col("salt2")) & F.col("doc_id").isNotNull(), "left")
     class_id = F.coalesce("class", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce((F.col("doc_id") == class_id) & F.coalesce("leads", F.lit(True)), F.lit(True)).alias("kept"), "dk")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).drop("dk")

@@ -45,17 +45,18 @@ def features(text: str | None) -> list[float]:
     return [math.log1p(len(words)), upper, digits, marks, symbols, float(count[128:].sum()) / n, spaces, min(60.0, n / w), variety, common, echo, same, bare, low(symbols), low(echo), low(upper), low(1 - min(1.0, variety))]
 
 
-def featurise(docs: DataFrame) -> DataFrame:
-    """(doc_id, one column per feature)."""
-    names = ["doc_id", *FEATURES]
+def featurise(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the carried columns, one column per feature)."""
+    kept = ["doc_id", *carry]
+    names = [*kept, *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([features(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows.T)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, rows.T)], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FEATURES)]))
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -98,8 +99,9 @@ def _slope(s: np.ndarray, y: np.ndarray, at: float) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
-    """doc_id, score (0 to 1, higher: better), predicted (1 if score >= 0.3), one row per document.
+def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns of docs, score (0 to 1, higher: better), predicted (1 if score >= 0.3), one row per
+    document.
 
     `labels` has doc_id and quality; rows whose quality is neither 0 nor 1 are ignored, and `learn` (on doc_id) says
     which may be learnt from.  About FIT_ROWS of them fit the weights; the threshold is a quantile over all of them.
@@ -107,16 +109,16 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     texts without words; equal texts get equal scores; repeated rows are each scored, and learnt from once; an empty table gives none.  A text
     of any length is read whole, and further columns of docs and labels are not read, whatever their names.
     """
-    x = materialise(featurise(docs))
+    x = materialise(featurise(docs, carry))
     known = labels.where(F.col("quality").isin(0, 1)).where(F.lit(True) if learn is None else learn)
-    known = materialise(x.join(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "doc_id").dropDuplicates())
+    known = materialise(x.join(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")), "doc_id").drop(*carry).dropDuplicates())
     share = FIT_ROWS / max(1, known.count())
     # Chosen by what a row holds, which is there once: rows that repeat an id don't come to the driver all together.
     chosen = F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(1_000_003)) / 1_000_003.0 < share
     fit = known.where(chosen).toPandas().sort_values(["doc_id", *FEATURES])
     y, m = fit["quality"].to_numpy(int), fit[list(FEATURES)].to_numpy(float)
     if len(set(y)) < 2:
-        return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return x.select("doc_id", *carry, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     w = fit_pairs(m, y)
     strength = sum((F.col(f) * float(v) for f, v in zip(FEATURES, w, strict=True)), F.lit(0.0))
     cut = known.agg(F.percentile_approx(strength, F.lit(best_level(m @ w, y)), F.lit(100_000)).alias("c")).first()["c"]
@@ -125,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     cut = cut if above is None else (cut + above) / 2
     logit = F.lit(math.log(CUT / (1 - CUT))) + F.lit(_slope(m @ w, y, cut)) * (strength - F.lit(cut))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), logit))))
-    return x.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return x.select("doc_id", *carry, score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
