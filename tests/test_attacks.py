@@ -66,9 +66,9 @@ def test_url_layers(spark):
 
 
 def test_lookups(spark):
-    texts = ["${${lower:J}ndi:x}", "${${::-j}${env:NO:-n}di:x}", "${date:'j'}", "no"]
+    texts = ["${${lower:J}ndi:x}", "${${::-j}${env:NO:-n}di:x}", "${date:'j'}", "no", None, "${env:HOME}x", "a${upper:b${lower:C}}d${::-}", "${lower:a:-B}${x:-y:-z}", "$${::-{}", "${" * 30 + "::-k" + "}" * 30]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(decode.deobfuscate(F.col("t")).alias("l")).collect()
-    assert [r.l for r in rows] == ["${jndi:x}", "${jndi:x}", "j", "no"]
+    assert [r.l for r in rows] == ["${jndi:x}", "${jndi:x}", "j", "no", None, "${env:HOME}x", "aBCd", "a:-by:-z", "$${::-{}", "${" * 29 + "k" + "}" * 29]
 
 
 def test_indicators(spark):
