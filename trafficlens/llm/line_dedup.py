@@ -26,9 +26,10 @@ BANDS, BAND = 32, 5
 #: probability of 0.0002.
 LEAST_EQUAL = 11
 THRESHOLD = 0.8
-#: Buckets of up to so many lines give all their pairs; larger ones first link their lines to LEADERS of them, the first in
-#: as many random orders of all lines (so that a family has about the same leaders in all its buckets).
-SMALL, LEADERS = 24, 12
+#: Buckets of up to so many lines give all their pairs.  Larger ones link their lines to LEADERS of them, the first in as
+#: many random orders of all lines (so that a family has about the same leaders in all its buckets), and those that stay
+#: apart to other leaders, in up to ROUNDS rounds.
+SMALL, LEADERS, ROUNDS = 24, 6, 4
 #: Members of a large bucket that one salt holds.
 SALTED = 256
 SALTS = 16
@@ -104,37 +105,59 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def buckets(unique: DataFrame) -> DataFrame:
-    """fp, bucket, size: the members of every bucket of more than one line."""
+    """fp, band, bucket, size: the members of every bucket of more than one line."""
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"s{i}") for i in hand)) for k, hand in enumerate(_HANDS)))
-    members = unique.select("fp", F.explode(keys).alias("bucket"))
+    members = unique.select("fp", F.posexplode(keys).alias("band", "bucket"))
     # Most buckets hold one line: they are counted by themselves, and only the others' lines are gathered.
     shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     return materialise(members.join(sent(shared), "bucket"))
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
-    """Distinct a < b: all pairs of the small buckets; each line of a large one with the bucket's leaders."""
-    small = members.where(F.col("size") <= SMALL)
-    inside = small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b")
-    large = members.where(F.col("size") > SMALL)
-    leaders = large.groupBy("bucket").agg(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)))
-    leaders = leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leaders"))
+def inside(small: DataFrame) -> DataFrame:
+    """All pairs a < b of small buckets."""
+    return small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b")
+
+
+def led(members: DataFrame, turn: int) -> DataFrame:
+    """members: fp, bucket, root -> each member with those of its bucket's leaders that have another root."""
+    leader = F.struct("fp", "root")
+    seeds = range(turn * LEADERS, (turn + 1) * LEADERS)
+    leaders = members.groupBy("bucket").agg(*(F.min_by(leader, F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in seeds))
+    leaders = materialise(leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in seeds))).alias("leaders")))
     # Sent or shuffled by its size: one row per large bucket.
-    led = large.join(sent(materialise(leaders)), "bucket").select("fp", F.explode("leaders").alias("leader")).where("fp <> leader")
-    return inside.union(led.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b"))).distinct()
+    each = members.join(sent(leaders), "bucket").select("fp", "root", F.explode("leaders").alias("l")).where("root <> l.root")
+    return each.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b")).distinct()
 
 
-def across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs a < b of members of one large bucket that the links so far leave in different components.  The members
-    of a bucket are spread by salt on one side and go to all its salts on the other."""
-    rooted = members.select("bucket", "fp", "size").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialise(rooted)
+def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of the buckets whose members the links so far leave in different components, with their root."""
+    rooted = materialise(members.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    rooted = materialise(rooted.join(open_, "bucket"))
+    return materialise(rooted.join(open_, "bucket"))
+
+
+def across(members: DataFrame, unique: DataFrame) -> DataFrame:
+    """All pairs a < b of members of one bucket that have different roots, each in the first bucket that both are in.  The
+    members of a bucket are spread by salt on one side and go to all its salts on the other."""
     salts = F.ceil(F.col("size") / SALTED)
-    left = rooted.select("bucket", F.pmod(F.xxhash64("fp"), salts).alias("salt"), F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = rooted.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("fp").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, ["bucket", "salt"]).where("a < b and ra <> rb").select("a", "b").distinct()
+    signed = materialise(members.join(unique.drop("n"), "fp"))
+    values = lambda x: [F.col("fp").alias(x), F.col("root").alias(f"r{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))]
+    left = signed.select("bucket", "band", F.pmod(F.xxhash64("fp"), salts).alias("salt"), *values("a"))
+    right = signed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), *values("b"))
+    right = right.withColumnsRenamed({"bucket": "bucket2", "salt": "salt2"})
+    shared = F.lit(len(_HANDS))
+    for k, hand in reversed(list(enumerate(_HANDS))):
+        same = F.lit(True)
+        for i in hand:
+            same = same & (F.col(f"a{i}") == F.col(f"b{i}"))
+        shared = F.when(same, F.lit(k)).otherwise(shared)
+    on = (F.col("bucket") == F.col("bucket2")) & (F.col("salt") == F.col("salt2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    return left.join(right, on & (equal_values() >= LEAST_EQUAL) & (shared == F.col("band"))).select("a", "b")
+
+
+def equal_values() -> Column:
+    """In how many values the signatures a0.. and b0.. agree."""
+    return sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(ORDERS)), F.lit(0))
 
 
 def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
@@ -143,8 +166,7 @@ def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     nodes = sent(materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
     signed = materialise(unique.join(nodes, "fp", "left_semi"))
     left, right = (signed.select(F.col("fp").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))) for x in "ab")
-    equal = sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(ORDERS)), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(equal >= LEAST_EQUAL).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(equal_values() >= LEAST_EQUAL).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -159,20 +181,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """node, root of the components of lines at the threshold.  unique: fp, s0.. (signature).
 
-    Small buckets give all their pairs, large ones the pairs with their leaders; the members of a large bucket that these
-    links leave in different components are then all compared with each other.  So no bucket is cut, and a family
-    that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
+    Small buckets give all their pairs, large ones the pairs with their leaders, in rounds; the members of a large bucket
+    that these links leave in different components are then all compared with each other.  So no bucket is cut, and a
+    family that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
     members = buckets(unique)
-    pairs = materialise(alike(first_pairs(members), unique))
-    wanted = members.where(F.col("size") > SMALL).select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    large = materialise(members.where(F.col("size") > SMALL).withColumn("root", F.col("fp")))
+    pairs = materialise(alike(inside(members.where(F.col("size") <= SMALL)).union(led(large, 0)).distinct(), unique))
+    wanted = large.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = materialise(lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"]))
-    links = materialise(verified(pairs, texts, threshold))
-    roots = components(links)
-    rest = materialise(across(members.where(F.col("size") > SMALL), roots).join(pairs, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return roots
-    more = materialise(verified(alike(rest, unique), texts, threshold))
-    return components(materialise(links.union(more)))
+    roots = components(materialise(verified(pairs, texts, threshold)))
+    for turn in range(1, ROUNDS + 1):
+        large = apart(large, roots)
+        if large.isEmpty():
+            break
+        last = turn == ROUNDS
+        new = (across(large, unique) if last else led(large, turn)).join(pairs, ["a", "b"], "left_anti")
+        new = materialise(new if last else alike(new, unique))
+        pairs = materialise(pairs.union(new))
+        found = materialise(verified(new, texts, threshold))
+        if not found.isEmpty():
+            roots = components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
+    return roots
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
