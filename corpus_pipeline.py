@@ -24,16 +24,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("k"))
 
 
-def scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """k, score, predicted."""
-    texts = docs.select("doc_id", "text", row_key().alias("k"))
-    return classify(texts, table(spark, sf_dir, "labels"), carry=("k",)).select("k", "score", "predicted")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  Null and empty texts are judged as texts without words; equal texts are
     judged alike; an empty table stays empty."""
-    rejected = scores(spark, docs, sf_dir).where("predicted = 0").select("k").distinct()
+    texts = docs.select("doc_id", "text", row_key().alias("k"))
+    rejected = classify(texts, table(spark, sf_dir, "labels"), carry=("k",)).where("predicted = 0").select("k").distinct()
     return keyed(docs).join(rejected, "k", "left_anti").select("row.*")
 
 
@@ -55,11 +50,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, weighed by the classifier's score: whole epochs, then the leading
-    words of the one in which its source's budget ends.  Texts without words are never taken; rows that repeat an id and
-    its text are taken alike."""
-    weights = scores(spark, docs, sf_dir).select(F.col("k").alias("dk"), F.col("score").alias("weight"))
-    taken = mix(docs, quality=weights).where("taken > 0").groupBy(F.col("dk").alias("k")).agg(F.max("taken").alias("taken"), F.max("size").alias("words"))
+    """Every document as often as the mix takes it: whole epochs, then the leading words of the one in which its source's
+    budget ends.  Texts without words are never taken; rows that repeat an id and its text are taken alike.  This stage
+    is of DataFrame functions alone, so the weights are those of the text's own figures, not the classifier's scores."""
+    taken = mix(docs).where("taken > 0").groupBy(F.col("dk").alias("k")).agg(F.max("taken").alias("taken"), F.max("size").alias("words"))
     times = keyed(docs).join(taken, "k").withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("words")).cast("int"))))
     left, whole = F.col("taken") - F.col("copy") * F.col("words"), F.col("row.text")
     words = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
