@@ -27,12 +27,19 @@ BANDS, BAND = 32, 5
 LEAST_EQUAL = 11
 THRESHOLD = 0.8
 #: Buckets of up to so many lines give all their pairs.  Larger ones link their lines to LEADERS of them, the first in as
-#: many random orders of all lines (so that a family has about the same leaders in all its buckets), and those that stay
-#: apart to other leaders, in up to ROUNDS rounds.
-SMALL, LEADERS, ROUNDS = 24, 6, 4
+#: many random orders of all lines (so that a family has about the same leaders in all its buckets).
+SMALL, LEADERS = 24, 6
+#: 64-bit words of the bitmap of a line's shingles, one bit a shingle.
+WORDS = 16
 #: Members of a large bucket that one salt holds.
 SALTED = 256
 SALTS = 16
+#: Pairs of lines that a task verifies, about, and the most tasks over which they are spread.
+PAIRS_A_TASK, MOST_TASKS = 4000, 20_000
+#: Pairs of members of large buckets that a task compares, about.
+COMPARED_A_TASK = 500_000
+#: Rounding that a comparison of shares allows.
+SLACK = 1e-9
 
 _random = random.Random(6)
 #: Each mask gives two random orders of the shingles, by its least and its greatest hash.
@@ -118,90 +125,142 @@ def inside(small: DataFrame) -> DataFrame:
     return small.select("bucket", F.col("fp").alias("a")).join(small.select("bucket", F.col("fp").alias("b")), "bucket").where("a < b").select("a", "b")
 
 
-def led(members: DataFrame, turn: int) -> DataFrame:
-    """members: fp, bucket, root -> each member with those of its bucket's leaders that have another root."""
-    leader = F.struct("fp", "root")
-    seeds = range(turn * LEADERS, (turn + 1) * LEADERS)
-    leaders = members.groupBy("bucket").agg(*(F.min_by(leader, F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in seeds))
-    leaders = materialise(leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in seeds))).alias("leaders")))
+def led(members: DataFrame) -> DataFrame:
+    """members: fp, bucket -> each member with its bucket's leaders."""
+    leaders = members.groupBy("bucket").agg(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)))
+    leaders = materialise(leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leaders")))
     # Sent or shuffled by its size: one row per large bucket.
-    each = members.join(sent(leaders), "bucket").select("fp", "root", F.explode("leaders").alias("l")).where("root <> l.root")
-    return each.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b")).distinct()
+    each = members.join(sent(leaders), "bucket").select("fp", F.explode("leaders").alias("l")).where("fp <> l")
+    return each.select(F.least("fp", "l").alias("a"), F.greatest("fp", "l").alias("b")).distinct()
 
 
 def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of the buckets whose members the links so far leave in different components, with their root."""
-    rooted = materialise(members.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    return materialise(rooted.join(open_, "bucket"))
-
-
-def across(members: DataFrame, unique: DataFrame) -> DataFrame:
-    """All pairs a < b of members of one bucket that have different roots, each in the first bucket that both are in.  The
-    members of a bucket are spread by salt on one side and go to all its salts on the other."""
-    salts = F.ceil(F.col("size") / SALTED)
-    signed = materialise(members.join(unique.drop("n"), "fp"))
-    values = lambda x: [F.col("fp").alias(x), F.col("root").alias(f"r{x}"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))]
-    left = signed.select("bucket", "band", F.pmod(F.xxhash64("fp"), salts).alias("salt"), *values("a"))
-    right = signed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), *values("b"))
-    right = right.withColumnsRenamed({"bucket": "bucket2", "salt": "salt2"})
-    shared = F.lit(len(_HANDS))
-    for k, hand in reversed(list(enumerate(_HANDS))):
-        same = F.lit(True)
-        for i in hand:
-            same = same & (F.col(f"a{i}") == F.col(f"b{i}"))
-        shared = F.when(same, F.lit(k)).otherwise(shared)
-    on = (F.col("bucket") == F.col("bucket2")) & (F.col("salt") == F.col("salt2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    return left.join(right, on & (equal_values() >= LEAST_EQUAL) & (shared == F.col("band"))).select("a", "b")
+    """The members of the buckets whose members the links so far leave in different components, with their root and
+    whether they stand outside their bucket's most frequent component; `stray`: how many of the bucket do."""
+    rooted = materialise(members.select("fp", "bucket", "size").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    counted = rooted.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.max("count").alias("within"))
+    # One row per large bucket, as in led().
+    open_ = rooted.join(sent(materialise(counted)), "bucket").where("within < size")
+    return materialise(open_.select("fp", "bucket", "size", "root", (F.col("root") != F.col("most")).alias("outside"), (F.col("size") - F.col("within")).alias("stray")))
+
+
+def across(members: DataFrame, unique: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b of members of one bucket that have different roots and may be alike, each in one of the buckets that
+    both are in: those outside the bucket's most frequent component meet all.  Both sides are cut into parts, and each part
+    of the one meets each part of the other."""
+    keys = ["bucket", "part_a", "part_b"]
+    parts = {"a": F.ceil(F.col("stray") / SALTED), "b": F.ceil(F.col("size") / (16 * SALTED))}
+    # A line is in BANDS buckets at most.
+    own = members.groupBy("fp").agg(F.collect_list("bucket").alias("own"))
+    facts = materialise(packed(unique).join(own, "fp").join(texts.drop("line"), "fp"))
+    rows = materialise(members.join(facts, "fp"))
+
+    def side(rows: DataFrame, x: str, y: str) -> DataFrame:
+        part, other = F.pmod(F.xxhash64("fp"), parts[x]), F.explode(F.sequence(F.lit(0).cast("long"), parts[y] - 1))
+        facts = [F.col(c).alias(f"{c}_{x}") for c in ("root", "outside", "own", *PACKED, *BITMAP)]
+        return rows.select("bucket", part.alias(f"part_{x}"), other.alias(f"part_{y}"), F.col("fp").alias(x), *facts)
+
+    # Dealt by the pairs to compare, not by bytes.
+    work = members.where("outside").agg(F.sum("size")).first()[0] or 0
+    tasks = min(MOST_TASKS, 1 + work // COMPARED_A_TASK)
+    left, right = (side(r, *xy).repartition(tasks, *keys) for r, xy in ((rows.where("outside"), "ab"), (rows, "ba")))
+    right = right.withColumnsRenamed({k: f"{k}2" for k in keys})
+    on = (F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("a") < F.col("b"))) & (equal_values() >= LEAST_EQUAL) & may_be_alike(threshold)
+    on = on & (F.array_min(F.array_intersect("own_a", "own_b")) == F.col("bucket"))
+    for k in reversed(keys):
+        on = (F.col(k) == F.col(f"{k}2")) & on
+    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+#: A packed signature has five values a word, the lower eleven bits of each with a free bit above them.
+LANE, LANES = 12, 5
+PACKED = [f"p{k}" for k in range(-(-ORDERS // LANES))]
+_FULL = sum(((1 << LANE - 1) - 1) << LANE * k for k in range(LANES))
+_FREE = sum((1 << LANE - 1) << LANE * k for k in range(LANES))
+#: Columns of a bitmap: the size of the set, how many bits it sets, and the words.
+BITMAP = ["m", "bits", *(f"w{k}" for k in range(WORDS))]
+
+
+def packed(unique: DataFrame) -> DataFrame:
+    """fp, p0.. : signatures that a few instructions compare (few enough to be compiled; a test of each value isn't)."""
+    words = [F.lit(0).cast("long") for _ in PACKED]
+    for k in range(ORDERS):
+        low = F.col(f"s{k}").cast("long").bitwiseAND(F.lit((1 << LANE - 1) - 1))
+        words[k // LANES] = words[k // LANES].bitwiseOR(F.shiftleft(low, LANE * (k % LANES)))
+    return unique.select("fp", *(w.alias(p) for w, p in zip(words, PACKED, strict=True)))
 
 
 def equal_values() -> Column:
-    """In how many values the signatures a0.. and b0.. agree."""
-    return sum(((F.col(f"a{k}") == F.col(f"b{k}")).cast("int") for k in range(ORDERS)), F.lit(0))
+    """In how many values (eleven bits of each) the signatures p0_a.. and p0_b.. agree."""
+    # Adding ones to what differs carries into the free bit.
+    unequal = (F.bit_count((F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")) + F.lit(_FULL)).bitwiseAND(F.lit(_FREE))) for p in PACKED)
+    return F.lit(ORDERS) - sum(unequal, F.lit(0))
+
+
+def may_be_alike(threshold: float) -> Column:
+    """Whether the bitmaps allow a similarity of the threshold: a bit that one line sets alone stands for at least one
+    shingle of that line alone.  No pair at the threshold is lost, whatever shingles share their bits."""
+    both = sum((F.bit_count(F.col(f"w{k}_a").bitwiseAND(F.col(f"w{k}_b"))) for k in range(WORDS)), F.lit(0))
+    return F.least(F.col("m_a") - F.col("bits_a"), F.col("m_b") - F.col("bits_b")) + both >= least_common(threshold)
+
+
+def least_common(threshold: float) -> Column:
+    """With c common shingles, c / (m_a + m_b - c) reaches the threshold."""
+    return (F.col("m_a") + F.col("m_b")) * (threshold / (1 + threshold)) - SLACK
+
+
+def both_sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs a, b with the columns of facts (fp, ...) for either."""
+    for x in "ab":
+        pairs = pairs.join(facts.withColumnsRenamed({c: x if c == "fp" else f"{c}_{x}" for c in facts.columns}), x)
+    return pairs
 
 
 def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in LEAST_EQUAL values."""
     pairs = materialise(pairs)
     nodes = sent(materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
-    signed = materialise(unique.join(nodes, "fp", "left_semi"))
-    left, right = (signed.select(F.col("fp").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(ORDERS))) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").where(equal_values() >= LEAST_EQUAL).select("a", "b")
+    signed = materialise(packed(unique.join(nodes, "fp", "left_semi")))
+    return both_sides(pairs, signed).where(equal_values() >= LEAST_EQUAL).select("a", "b")
+
+
+def with_bitmaps(texts: DataFrame) -> DataFrame:
+    """texts: fp, line -> with m, the size of the line's shingle set, and w0.., a bitmap of it."""
+    words = [F.expr(f"bit_or(IF((h & {WORDS - 1}) = {k}, shiftleft(1L, CAST(shiftrightunsigned(h, 8) & 63 AS INT)), 0L))").alias(f"w{k}") for k in range(WORDS)]
+    sized = texts.withColumn("m", F.size(F.array_distinct(shingle_hashes(F.col("line")))))
+    bits = sum((F.bit_count(f"w{k}") for k in range(WORDS)), F.lit(0))
+    return sized.join(shingles(texts).groupBy("fp").agg(*words).withColumn("bits", bits), "fp")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  texts: fp, line."""
-    left, right = (texts.select(F.col("fp").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    sets = F.struct(shingle_hashes(F.col("la")).alias("x"), shingle_hashes(F.col("lb")).alias("y"))
-    jaccard = once(sets, lambda s: F.size(F.array_intersect(s.x, s.y)) / F.size(F.array_union(s.x, s.y)))
-    return both.where(jaccard >= threshold).select("a", "b")
+    """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  `pairs` is a written table,
+    texts are of with_bitmaps.  Pairs are few bytes and much work, so they are dealt by their number."""
+    tasks = min(MOST_TASKS, max(1, -(-pairs.count() // PAIRS_A_TASK)))
+    both = both_sides(pairs, texts.select("fp", "line", "m")).repartition(tasks, "a", "b")
+    common = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
+    return both.where(common >= least_common(threshold)).select("a", "b")
 
 
 def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """node, root of the components of lines at the threshold.  unique: fp, s0.. (signature).
 
-    Small buckets give all their pairs, large ones the pairs with their leaders, in rounds; the members of a large bucket
-    that these links leave in different components are then all compared with each other.  So no bucket is cut, and a
+    Small buckets give all their pairs, large ones the pairs with their leaders; the members of a large bucket
+    that these links leave outside its most frequent component are then compared with all of it.  So no bucket is cut, and a
     family that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
     members = buckets(unique)
-    large = materialise(members.where(F.col("size") > SMALL).withColumn("root", F.col("fp")))
-    pairs = materialise(alike(inside(members.where(F.col("size") <= SMALL)).union(led(large, 0)).distinct(), unique))
+    large = materialise(members.where(F.col("size") > SMALL))
+    pairs = materialise(alike(inside(members.where(F.col("size") <= SMALL)).union(led(large)).distinct(), unique))
     wanted = large.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = materialise(lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"]))
-    roots = components(materialise(verified(pairs, texts, threshold)))
-    for turn in range(1, ROUNDS + 1):
-        large = apart(large, roots)
-        if large.isEmpty():
-            break
-        last = turn == ROUNDS
-        new = (across(large, unique) if last else led(large, turn)).join(pairs, ["a", "b"], "left_anti")
-        new = materialise(new if last else alike(new, unique))
-        pairs = materialise(pairs.union(new))
-        found = materialise(verified(new, texts, threshold))
-        if not found.isEmpty():
-            roots = components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
-    return roots
+    texts = materialise(with_bitmaps(texts))
+    likely = materialise(both_sides(pairs, texts.drop("line")).where(may_be_alike(threshold)).select("a", "b"))
+    roots = components(materialise(verified(likely, texts, threshold)))
+    large = apart(large, roots)
+    new = materialise(across(large, unique, texts, threshold).join(pairs, ["a", "b"], "left_anti"))
+    found = materialise(verified(new, texts, threshold))
+    if found.isEmpty():
+        return roots
+    return components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
