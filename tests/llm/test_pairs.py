@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 
+from trafficlens.llm.common import materialise
 from trafficlens.llm.embed_dedup import calibrated_count, near_duplicates
-from trafficlens.llm.line_dedup import SHINGLE, dedup_lines
+from trafficlens.llm.line_dedup import ORDERS, SHINGLE, both_sides, dedup_lines, equal_values, lines, may_be_alike, packed, signatures, with_bitmaps
 from trafficlens.llm.ngram_join import SCHEME, near_copies
 
 DOCS = "doc_id long, text string, kept string, class_id int, fp string, family string"
@@ -176,6 +177,28 @@ def test_line_recall_in_templates(spark):
     assert want <= got and len(got) - len(want) <= 0.01 * (600 - len(want)) and len(links) >= 300
 
 
+def test_line_prefilters(spark):
+    """Packed signatures count equal values as the plain ones do; bitmaps refute many pairs, but none at the threshold."""
+    rng, table = random.Random(10), []
+    for _ in range(20):
+        line = words(rng, rng.randrange(3, 60))
+        for k in range(5):
+            table.append(" ".join(line))
+            line[rng.randrange(len(line))] = words(rng, 1)[0]
+    table = docs(spark, list(enumerate(table)))
+    signed = materialise(signatures(table))
+    values = {r.fp: [r[f"s{k}"] for k in range(ORDERS)] for r in signed.collect()}
+    texts = materialise(lines(table).select("fp", "line").dropDuplicates(["fp"]))
+    sets = {r.fp: shingles(r.line) for r in texts.collect()}
+    pairs = spark.createDataFrame(list(itertools.combinations(sorted(sets), 2)), "a long, b long")
+    for r in both_sides(pairs, packed(signed)).select("a", "b", equal_values().alias("n")).collect():
+        assert r.n == sum((x - y) % 2048 == 0 for x, y in zip(values[r.a], values[r.b], strict=True))
+    jaccard = lambda r: len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])
+    judged = both_sides(pairs, materialise(with_bitmaps(texts)).drop("line")).select("a", "b", may_be_alike(0.8).alias("may")).collect()
+    assert all(r.may for r in judged if jaccard(r) >= 0.8) and any(jaccard(r) >= 0.8 for r in judged)
+    assert sum(r.may for r in judged) < 0.1 * len(judged)
+
+
 def test_line_columns(spark):
     """Columns named like the operator's own, and none but those it needs."""
     rows = [(1, "a line of text\nanother line", 5, 6, [1], 7), (2, "a line of text", 5, 6, [1], 8), (None, "a line of text", 5, 6, [1], 9)]
