@@ -196,6 +196,19 @@ def stream_fetches(spark: SparkSession, d: str) -> DataFrame:
 add("S5_live_stages", stream_stages, SESSION_SQL + "SELECT actor, stage_reached AS stage FROM sess")
 add("S6_read_fetch", stream_fetches, LOG + "SELECT r.token, count(*) AS pairs, count(*) FILTER (r.ip <> h.ip) AS split FROM log r JOIN log h ON r.token = h.token AND h.ts >= r.ts AND h.ts <= r.ts + INTERVAL 1 DAY WHERE r.kind = 'policy_read' AND h.kind = 'trap_hit' GROUP BY 1")
 
+def stream_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Two days each, of windows that the watermark has closed; the approximate count of actors is left out."""
+    return materialise_stream(live.rolling_digest(stream_log(spark, d), 2)).drop("actors")
+
+
+def stream_claims(spark: SparkSession, d: str) -> DataFrame:
+    claims = stream_log(spark, d).select("ts", "ip", F.col("claimed_crawler").alias("claimed")).where("claimed is not null")
+    return materialise_stream(live.dedupe_claims(claims, "60 days")).select("ip", "claimed")
+
+
+add("S3_rolling_digest", stream_rolling, LOG + "SELECT s::TIMESTAMP AS since, (s + INTERVAL 2 DAY)::TIMESTAMP AS until, count(*) AS events, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'credential') AS credential_attempts FROM (SELECT kind, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM log) WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) FROM log) - INTERVAL 60 MINUTE GROUP BY s")
+add("S4_claims_once", stream_claims, LOG + "SELECT DISTINCT ip, claimed_crawler AS claimed FROM log WHERE claimed_crawler IS NOT NULL")
+
 # -- further expressions over fields that the log yields
 add("B11_persona", lambda spark, d: derived.log(spark, d).groupBy("kind", match.persona(F.lit(None).cast("string"), F.col("path")).alias("persona")).agg(F.count("*").alias("n")), LOG + "SELECT kind, CASE WHEN kind = 'hunt' THEN family ELSE 'site' END AS persona, count(*) AS n FROM log GROUP BY ALL")
 
