@@ -9,6 +9,7 @@ from .mixing import OP9_SQL, op9_mixing
 from .ngram_join import op2_ngram_join
 from .packing import op10_packing
 from .quality import op1_quality
+from .token_counts import op13_token_counts
 from .tool_calls import OP7_SQL, op7_tool_calls
 from .topk import OP3_SQL, op3_exact_topk
 from .url_filter import OP4_SQL, op4_url_filter
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES = {"op7_tool_calls": OP7_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
