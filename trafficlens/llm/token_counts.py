@@ -28,10 +28,12 @@ from .tokens import byte_pieces, default_path
 
 #: Tables of pieces, and pairs of tokens, that a worker keeps (some 100 MB each); beyond them both start anew.
 PIECES, PAIRS = 400_000, 1_000_000
-#: Pieces of up to so many characters are kept.
+#: Pieces of fewer characters are kept.
 KEPT_CHARS = 64
 #: Characters of the texts of one batch that a task hands on.
 BATCH_CHARS = 2_000_000
+#: What stands before the first token of a piece.
+BEGIN = -2
 #: Stand-ins for characters that the tokeniser's library and this module's patterns put into different classes.
 LETTER, NUMBER, SPACE, OTHER = "a", "1", "\t", "!"
 
@@ -47,46 +49,68 @@ class PrefixCounter:
         self.bpe = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.ends = ahocorasick.Automaton()
         for piece, i in self.ranks.items():
-            self.ends.add_word(piece.decode("latin-1"), (len(piece), i))
+            if b"\xff" not in piece:
+                self.ends.add_word(piece.decode("latin-1"), (len(piece), i))
         self.ends.make_automaton()
         self.cut = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.pretokens = regex.compile(public_tokenizers.PATTERN)
         self.runs = regex.compile(r"\s{2,}(?=\S)")
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.agreed, self.stand_in = set(map(chr, range(128))), {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def _may_follow(self, last: int, token: int) -> bool:
-        pair = last, token
-        if pair not in self.follows:
-            if len(self.follows) >= PAIRS:
-                self.follows.clear()
-            self.follows[pair] = self.bpe._encode_single_piece(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
-        return self.follows[pair]
-
-    def _programme(self, piece: str) -> np.ndarray:
-        """Counts at the characters' ends of one piece, as if each prefix were a piece."""
-        raw = piece.encode()
-        count, last = array("i", bytes(4 * len(raw) + 4)), array("i", [-1]) * (len(raw) + 1)
-        for end, (size, token) in self.ends.iter(raw.decode("latin-1")):  # at each end, longer tokens come first
-            before = end + 1 - size
-            if last[end + 1] < 0 and (not before or (last[before] >= 0 and self._may_follow(last[before], token))):
-                count[end + 1], last[end + 1] = count[before] + 1, token
+        return self.bpe._encode_single_piece(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
+
+    def _programme(self, pieces: list[str]) -> np.ndarray:
+        """One piece after the other, the counts at its characters' ends, as if each of its prefixes were a piece."""
+        raw = b"\xff".join(p.encode() for p in pieces)  # that byte is in no text
+        n = len(raw)
+        short = n < 1 << 16
+        count = [0] * (n + 1) if short else array("i", bytes(4 * n + 4))
+        last = [-1] * (n + 1) if short else array("i", [-1]) * (n + 1)
         held = np.frombuffer(raw, np.uint8)
-        at = np.flatnonzero(np.append((held[1:] & 0xC0) != 0x80, True))
-        found = np.frombuffer(count, np.int32)[1:][at]
+        last[0] = BEGIN
+        for at in np.flatnonzero(held == 0xFF).tolist():
+            last[at + 1] = BEGIN
+        follows = self.follows
+        if len(follows) >= PAIRS:
+            follows.clear()
+        for end, (size, token) in self.ends.iter(raw.decode("latin-1")):  # at each end, longer tokens come first
+            end += 1
+            if last[end] == -1:
+                before = last[end - size]
+                if before < 0:
+                    fits = before == BEGIN
+                else:
+                    fits = follows.get(before << 32 | token)
+                    if fits is None:
+                        fits = follows[before << 32 | token] = self._may_follow(before, token)
+                if fits:
+                    count[end], last[end] = count[end - size] + 1, token
+        closes = np.ones(n, bool)  # the last byte of a character
+        closes[:-1] = (held[1:] & 0xC0) != 0x80
+        found = np.array(count[1:], np.int32)[closes & (held != 0xFF)]
         if not found.all():
             raise ValueError("a vocabulary without single bytes")
         return found
 
-    def _piece(self, piece: str) -> np.ndarray:
-        """Counts at the prefixes of a pre-token.  A prefix of a contraction such as 'll is two pre-tokens itself."""
-        counts = self._programme(piece)
-        if len(piece) == 3 and piece[0] == "'" and piece.isascii() and piece[1:].isalpha():
-            counts = counts.copy()
-            counts[1] = 2
-        return counts
+    def _learn(self, new: list[str]) -> dict[str, np.ndarray]:
+        """Makes pre-tokens known; the long ones are known as zeros and returned.  The first two characters of a contraction
+        such as 'll are two pre-tokens themselves."""
+        long, at, tables = {}, 0, self._programme(new)
+        small = np.minimum(tables, 255).astype(np.uint8).tobytes()  # short pieces have at most four tokens a character
+        for p in new:
+            end = at + len(p)
+            if len(p) == 3 and p[0] == "'" and p.isascii() and p[1:].isalpha():
+                self.known[p] = bytes((small[at], 2, small[at + 2]))
+            elif len(p) < KEPT_CHARS:
+                self.known[p] = small[at:end]
+            else:
+                self.known[p], long[p] = bytes(len(p)), tables[at:end]
+            at = end
+        return long
 
     def _classed(self, text: str) -> str:
         """The text with stand-ins: as long, and cut by `pretokens` where the library cuts the text."""
@@ -110,26 +134,23 @@ class PrefixCounter:
         ends = np.cumsum(lengths)
         if classed is not text:
             pieces = [text[a:b] for a, b in zip(ends - lengths, ends, strict=True)]
-        long, tables = {}, []
-        for k, p in enumerate(pieces):
-            t = self.known.get(p)
-            if t is None:
-                if len(p) > KEPT_CHARS:
-                    long[k], t = self._piece(p), bytes(len(p))
-                else:
-                    if len(self.known) >= PIECES:
-                        self.known.clear()
-                    t = self.known[p] = self._piece(p).astype(np.uint8).tobytes()  # at most four tokens a character
-            tables.append(t)
-        counts = np.frombuffer(b"".join(tables), np.uint8).astype(np.int32)
-        for k, t in long.items():
-            counts[ends[k] - lengths[k] : ends[k]] = t
+        if len(self.known) >= PIECES:
+            self.known.clear()
+        new = list(set(pieces).difference(self.known))
+        long = self._learn(new) if new else {}
+        counts = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint8).astype(np.int32)
+        if long:
+            for p, end in zip(pieces, ends, strict=True):
+                if p in long:
+                    counts[end - len(p) : end] = long[p]
+            for p in long:
+                del self.known[p]
         totals = counts[ends - 1]
         counts += np.repeat(np.cumsum(totals) - totals, lengths).astype(np.int32)
         # The last of several white spaces belongs to what follows it, but to the others where a prefix ends with it.
         for run in self.runs.finditer(classed):
             before = counts[run.start() - 1] if run.start() else 0
-            counts[run.end() - 1] = before + self._programme(text[run.start() : run.end()])[-1]
+            counts[run.end() - 1] = before + self._programme([text[run.start() : run.end()]])[-1]
         return counts
 
     def counts(self, text: str) -> np.ndarray:
