@@ -232,3 +232,12 @@ def test_embeddings(spark):
         assert (got[i].component_id, got[i].kept) == (root[i], root[i] == i)
     assert all(got[b[0]].n_links == 0 and got[b[0]].kept for b in bad)
     assert near_duplicates(spark.createDataFrame([], VECTORS)).collect() == [] and calibrated_count() > 10
+
+
+def test_embeddings_that_repeat_an_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(5, a, "1", "x"), (6, near(a), "1", "x"), (5, b, "2", "x"), (7, near(b), "2", "x"), (9, [0.0, 1.0, 0.0, 0.0], "1", "x"), (9, [0.0, -1.0, 0.0, 0.0], "1", "x")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links string")
+    got = sorted(tuple(r) for r in near_duplicates(vectors).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (9, 0, 9, True), (9, 0, 9, True)]

@@ -86,6 +86,15 @@ def test_top_k(spark):
     assert top_k(few, few.where("id = 0"), 10).count() == 2 and top_k(v.limit(0), v.limit(0)).collect() == []
 
 
+def test_top_k_odd_vectors(spark):
+    """Vectors without components score 0 with each other; components of any size have exact products."""
+    rows = [(100, []), (3, []), (1, []), (200, [1e300, 1.0]), (4, [1e17, 2.0]), (5, [-1e17, 2.0]), (300, [2.0**40, 3.0, 1.0]), (6, [2.0**41, 1.0, 1.0]), (7, [2.0**41, 1.0, 2.0])]
+    v = valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024.0)
+    got = sorted(tuple(r) for r in top_k(v, v.where("id % 100 = 0"), 10).collect())
+    most = (1 << 63) - 1
+    assert got == [(100, 1, 1, 0), (100, 2, 3, 0), (200, 1, 4, most), (200, 2, 5, -most), (300, 1, 6, most), (300, 2, 7, most)]
+
+
 def test_tool_calls(spark):
     call = lambda *cs: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in cs]})
     messages = [

@@ -112,15 +112,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Only vectors of equal, non-null labels (and equal dimension) are compared.  A vector that is null, zero or holds
     null or non-finite components, or whose vec_id is null, links with nothing and is a component of its own.  Equal
     vectors are gathered before the search and count as each other's links, so copies cost nothing however many they
-    are; repeated rows are copies.  A full cell is cut into blocks that are compared pair by pair: nothing is capped.
+    are; repeated rows are copies.  Rows that repeat a vec_id with another vector or label are vectors of their own, and their
+    components don't join through the id.  Other columns are not read, whatever their names; an empty table gives no rows.  A full cell is cut into blocks that are compared pair by pair: nothing is capped.
     """
     e = F.col("embedding").cast("array<double>")
     sound = F.coalesce(~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
     sound = sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select("vec_id", "label", e.alias("e"), sound.alias("sound")).withColumn("h", F.when(F.col("sound"), F.xxhash64("e"))).withColumn("g", F.when(F.col("sound"), F.hash(F.reverse("e"))))
     rows = materialise(rows)
-    copies = rows.where("sound").groupBy("label", "h", "g").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("times"), F.min_by("e", "vec_id").alias("e"))
-    copies = materialise(copies)
+    copies = rows.where("sound").groupBy("label", "h", "g").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("times"), F.min_by("e", "vec_id").alias("e"))
+    copies = materialise(copies.withColumn("id", F.monotonically_increasing_id()))  # ids of vectors may repeat
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,8 +158,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = copies.select("label", "h", "g", "id", "times").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select(F.col("label").alias("l"), F.col("h").alias("h2"), F.col("g").alias("g2"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    classes = copies.select("label", "h", "g", "id", "least", "times").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    classes = materialise(classes)
+    tops = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
+    classes = classes.join(tops, "root", "left")
+    classes = classes.select(F.col("label").alias("l"), F.col("h").alias("h2"), F.col("g").alias("g2"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("top", "least").alias("component_id"))
     classes = materialise(classes)
     # Copies of one vector may be many: the rows are spread by salt, and each class goes to all salts.
     salts = 16

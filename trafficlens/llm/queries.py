@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embed_dedup import OP8_SQL, op8_embedding_dedup
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language import op5_language_id
 from .line_dedup import op6_line_dedup
 from .mixing import OP9_SQL, op9_mixing
@@ -13,6 +14,7 @@ from .token_counts import op13_token_counts
 from .tool_calls import OP7_SQL, op7_tool_calls
 from .topk import OP3_SQL, op3_exact_topk
 from .url_filter import OP4_SQL, op4_url_filter
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
     "op13_token_counts": op13_token_counts,
 }
-ORACLES = {"op7_tool_calls": OP7_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op11_hard_negatives": OP11_SQL, "op7_tool_calls": OP7_SQL, "op3_exact_topk": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_embedding_dedup": OP8_SQL, "op9_mixing": OP9_SQL}

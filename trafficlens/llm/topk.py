@@ -25,8 +25,10 @@ RANGES_PER_E = 32
 COORDINATE_FROM = 0.35
 #: Coordinates of a query that coordinate pruning looks at.
 FOCUS = 16
-#: Largest component for which products are exact in double precision (64-bit integers take over beyond it).
+#: Largest component for which products are exact in double precision (integers take over beyond it).
 EXACT = 1 << 20
+#: Scores are longs; larger ones count as these.
+LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -55,9 +57,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _products(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if max(np.abs(m).max(initial=0), np.abs(q).max(initial=0)) < EXACT:
+    """Exact products; those that a long can't hold are the least or greatest long."""
+    top, other = (float(np.abs(x.astype(float)).max(initial=0)) for x in (m, q))
+    if max(top, other) < EXACT:
         return (m.astype(float) @ q.astype(float)).astype(np.int64)
-    return m @ q
+    if top * other * max(1, len(q)) < 1 << 62:
+        return m @ q
+    return np.array([min(max(int(s), LEAST), MOST) for s in m.astype(object) @ q.astype(object)], np.int64)
 
 
 def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,7 +88,7 @@ def search_block(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, q: np.ndarray
         keep = keep[ids[keep] != qid]
         if len(keep):
             scores = _products(m[keep], q[i])
-            good = scores >= bound[i]
+            good = scores >= bound[i] - 1e-9 * abs(bound[i])  # a bound is a double, a score may be more exact
             keep, scores = keep[good], scores[good]
             at = _best(scores, ids[keep], k)
             yield int(qid), ids[keep][at], scores[at]
@@ -92,8 +98,9 @@ def _searcher(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                ids, m = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.m, "<i8").reshape(-1, r.dim)
-                qids, q = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.qm, "<i8").reshape(-1, r.dim)
+                ids, m = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.m, "<i8")
+                qids, q = np.frombuffer(r.qids, "<i8"), np.frombuffer(r.qm, "<i8")
+                m, q = m.reshape(len(ids), r.dim), q.reshape(len(qids), r.dim)
                 got = list(search_block(ids, m, qids, q, np.frombuffer(r.bounds, "<f8"), k))
                 if got:
                     yield pd.DataFrame({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]), "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
@@ -110,7 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     A query id stands for one query: of queries that repeat an id, the least vector (compared component by component)
     counts.  Candidates that repeat an id are separate candidates; those of the query's own id are no candidates.
-    A query meets only vectors of its dimension.  Queries are cut into blocks and vectors into buckets of bounded size,
+    A query meets only vectors of its dimension; vectors without components have score 0 with each other.  Scores are exact
+    and kept in the range of a long.  Queries are cut into blocks and vectors into buckets of bounded size,
     so a common vector or length never gathers in one task, and a block meets a bucket only if some query of it can
     still score there.  Where all vectors are about equally long, no bucket can be skipped by length: every block then
     meets every bucket, and the pruning by coordinates inside a bucket does the work.  Null vectors and vectors without a
