@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import rules as fixed
 from ..functions import match
 from ..functions.decode import deobfuscate_all, latin1, unquote, url_layers, valid_text
+from .rulesets import RuleSet, attack_rules, with_rules
 
 UNIT = "struct<location string, param string, text string>"
 DEPTH = 6
@@ -121,49 +122,15 @@ def with_views(units: DataFrame) -> DataFrame:
     return texts.withColumn("views", F.transform("texts", lambda t, i: F.struct(t.alias("text"), (i > 0).alias("decoded")))).drop("layers", "texts")
 
 
-def evidence(view: Column, pattern: Column) -> Column:
-    """The match with 20 characters on either side."""
-    at = F.regexp_instr(view, pattern)
-    start = F.greatest(at - 20, F.lit(1))
-    end = F.least(at + F.length(F.regexp_substr(view, pattern)) + 20, start + fixed.EVIDENCE)
-    return F.substring(view, start, end - start)
+def classify(units: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """rid, cls, location, evidence, decoded, sig, cve, first: one label per request, class and location, by the fixed rules
+    or by those of with_rules()."""
+    return (rules or with_rules(attack_rules(units.sparkSession))).classify(with_views(units))
 
 
-def _fits(pattern: str) -> Callable[[Column], Column]:
-    return lambda view: match.like(view["text"], pattern)
-
-
-def labels(units: DataFrame, table: tuple[fixed.AttackRule, ...] = fixed.ATTACKS) -> DataFrame:
-    """rid, location, idx, rule, cls, sig, cve, pattern and the first view that fits, for every rule that fires in a unit."""
-    units = with_views(units)
-    found = []
-    for n, r in enumerate(table):
-        applies = F.col("kind").isin(*r.where.split())
-        if r.include_only:
-            applies = applies & match.like(F.col("param"), fixed.INCLUDE_PARAMS)
-        if r.param:
-            applies = applies & (F.lower("param") == r.param.lower())
-        if r.hint:
-            applies = applies & match.like(F.col("views")[0]["text"], r.hint)
-        hit = F.try_element_at(F.filter("views", _fits(r.pattern)), F.lit(1))
-        out = F.struct(F.lit(n).alias("rule"), F.lit(r.cls).alias("cls"), F.lit(r.sig).cast("string").alias("sig"), F.lit(r.cve).cast("string").alias("cve"), F.lit(f"(?id){r.pattern}").alias("pattern"), hit.alias("view"))
-        found.append(F.when(applies & F.exists("views", _fits(r.pattern)), out))
-    hits = units.select("rid", "idx", "location", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("l"))
-    return hits.select("rid", "idx", "location", "l.*")
-
-
-def classify(units: DataFrame, table: tuple[fixed.AttackRule, ...] = fixed.ATTACKS) -> DataFrame:
-    """rid, cls, location, evidence, decoded, sig, cve, first: one label per request, class and location.  The first
-    rule that names a CVE or a signature counts, else the first rule."""
-    order = F.struct((F.col("cve").isNull() & F.col("sig").isNull()).alias("plain"), "idx", "rule")
-    best = labels(units, table).groupBy("rid", "cls", "location").agg(F.min_by(F.struct("view", "pattern", "sig", "cve"), order).alias("l"), F.min(F.struct("idx", "rule")).alias("first"))
-    shown = evidence(F.col("l.view.text"), F.col("l.pattern"))
-    return best.select("rid", "cls", "location", shown.alias("evidence"), F.col("l.view.decoded").alias("decoded"), "l.sig", "l.cve", "first")
-
-
-def attacks_of(log: DataFrame) -> DataFrame:
+def attacks_of(log: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """rid, attacks (array in the order of discovery) for the requests that carry any."""
-    found = classify(attack_units(log))
+    found = classify(attack_units(log), rules)
     nested = found.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("first", "cls", "location", "evidence", "decoded", "sig", "cve"))).alias("a"))
     return nested.select("rid", F.transform("a", lambda x: x.dropFields("first")).alias("attacks"))
 
