@@ -3,32 +3,60 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules as fixed
 from ..functions import match
-from ..sources.log import address_key
 
 
-@F.pandas_udf(T.BinaryType())
-def ip_key(ips: pd.Series) -> pd.Series:
-    def key(text: str) -> bytes | None:
+@F.pandas_udf(T.StructType([T.StructField("version", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())]))
+def ip_words(ips: pd.Series) -> pd.DataFrame:
+    """An address as version and 128 bits in two words, those of IPv4 on top; null for what is no address."""
+
+    def words(text: str | None) -> tuple[int | None, int | None, int | None]:
         try:
-            return address_key(ipaddress.ip_address(text))
+            address = ipaddress.ip_address(text)
         except ValueError:
-            return None
+            return None, None, None
+        bits = int(address) << (96 if address.version == 4 else 0)
+        signed = lambda w: w - (1 << 64) if w >> 63 else w
+        return address.version, signed(bits >> 64), signed(bits & ((1 << 64) - 1))
+
+    return pd.DataFrame([words(t) for t in ips], columns=["version", "high", "low"]).astype({"version": "Int32", "high": "Int64", "low": "Int64"})
+
 
-    return ips.map(key, na_action="ignore")
+def _leading(word: Column, bits: Column) -> Column:
+    """The word's first `bits` bits (0 to 64, fewer and more count as those); the others are 0."""
+    rest = F.lit(64) - bits
+    return F.when(bits <= 0, F.lit(0).cast("long")).when(bits >= 64, word).otherwise(F.call_function("shiftleft", F.call_function("shiftright", word, rest), rest))
+
+
+def _network(word: str, size: Column) -> tuple[Column, Column]:
+    return _leading(F.col(f"{word}.high"), size).alias("high"), _leading(F.col(f"{word}.low"), size - 64).alias("low")
 
 
 def match_range(claims: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(ip, operator) -> ip, operator, cidr: the first block of the operator that holds the address."""
-    asked = claims.select("ip", "operator").distinct().withColumn("key", ip_key("ip"))
-    inside = asked.join(ranges.withColumnRenamed("operator", "o"), (F.col("operator") == F.col("o")) & (F.col("lo") <= F.col("key")) & (F.col("key") <= F.col("hi")))
+    """(ip, operator) -> ip, operator, cidr: the first block of the operator that holds the address.
+
+    A block is keyed by its operator, length and leading bits.  An address asks once for each length that its operator's
+    blocks of its version have (129 at most), so the join is one of equal keys, whatever the number of blocks.
+    """
+    asked = claims.select("ip", "operator").distinct().withColumn("w", ip_words("ip")).where("w.version is not null")
+    blocks = ranges.select("operator", "idx", "cidr", F.substring_index("cidr", "/", -1).cast("int").alias("size"), ip_words(F.substring_index("cidr", "/", 1)).alias("w"))
+    blocks = blocks.select("operator", F.col("w.version").alias("version"), "size", *_network("w", F.col("size")), "idx", "cidr")
+    blocks = blocks.groupBy("operator", "version", "size", "high", "low").agg(F.min("idx").alias("idx"), F.min_by("cidr", "idx").alias("cidr"))
+    sizes = blocks.groupBy("operator", "version").agg(F.collect_set("size").alias("sizes"))
+    asked = asked.select("ip", "operator", "w", F.col("w.version").alias("version")).join(sizes, ["operator", "version"]).select("ip", "operator", "version", "w", F.explode("sizes").alias("size"))
+    asked = asked.select("ip", "operator", "version", "size", *_network("w", F.col("size")))
+    inside = asked.join(blocks, ["operator", "version", "size", "high", "low"])
     return inside.groupBy("ip", "operator").agg(F.min_by("cidr", "idx").alias("cidr"))
 
 
@@ -64,12 +92,47 @@ def verdicts(claims: DataFrame, ranges: DataFrame, dns: DataFrame) -> DataFrame:
     return out.select("ip", "ua", "claimed", "operator", "v.*", F.when(rdns, F.col("ptr")).alias("rdns"), F.when(F.col("v.verdict") == "verified", F.col("matched")).alias("matched_range"))
 
 
+def _keep_spaced(ttl: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (ip, claim, ts) in order -> those that are the first of their key or at least `ttl` microseconds behind the last
+    one kept.  The key and time of that one are all that is carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            ips, claims = batch.column("ip"), batch.column("claim")
+            times = batch.column("ts").cast(pa.timestamp("us", batch.schema.field("ts").type.tz)).cast(pa.int64()).to_numpy()
+            n = len(times)
+            new = np.ones(n, bool)
+            if n > 1:
+                equal = lambda c: pc.or_(pc.fill_null(pc.equal(c[1:], c[:-1]), False), pc.and_(c[1:].is_null(), c[:-1].is_null()))
+                new[1:] = ~pc.and_(equal(ips), equal(claims)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            kept = []
+            for a, b in zip(starts, [*starts[1:], n], strict=True):
+                own = (ips[a].as_py(), claims[a].as_py())
+                at = a
+                if own == key:  # the batch before ended with this key
+                    at = a + int(np.searchsorted(times[a:b], last + ttl))
+                while at < b:
+                    kept.append(at)
+                    last = int(times[at])
+                    at += 1 + int(np.searchsorted(times[at + 1 : b], last + ttl))
+                key = own
+            if kept:
+                yield batch.take(pa.array(kept))
+
+    return run
+
+
 def dedupe_claims(claims: DataFrame, ttl: float | None = None) -> DataFrame:
     """(ip, claim, ts) -> the claims to verify: each (ip, claim) once, or again when `ttl` seconds have passed since the
-    last verification; hits do not refresh it."""
+    last verification; hits do not refresh it.  Rows without a time say nothing; null ips and claims are keys like others.
+
+    With a ttl the claims of a key are sorted in one task, on disk if need be, and folded in constant memory.  Equal times
+    of a key are one before the shuffle.
+    """
     if ttl is None:
         return claims.groupBy("ip", "claim").agg(F.min("ts").alias("ts"))
-    times = claims.groupBy("ip", "claim").agg(F.array_sort(F.collect_set("ts")).alias("times"))
-    step = lambda kept, t: F.when((F.size(kept) == 0) | (F.unix_micros(t) - F.unix_micros(F.try_element_at(kept, F.lit(-1))) >= int(ttl * 1e6)), F.array_append(kept, t)).otherwise(kept)
-    kept = F.aggregate("times", F.array().cast("array<timestamp>"), step)
-    return times.select("ip", "claim", F.explode(kept).alias("ts"))
+    times = claims.select("ip", "claim", "ts").where("ts is not null").groupBy("ip", "claim", "ts").agg(F.lit(1)).select("ip", "claim", "ts")
+    ordered = times.repartition("ip", "claim").sortWithinPartitions("ip", "claim", "ts")
+    return ordered.mapInArrow(_keep_spaced(int(ttl * 1e6)), ordered.schema)
