@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import match
@@ -66,11 +68,21 @@ JOIN pay_dim q ON q.pay_k = e.event_id % 7)
 """
 
 
-def derived(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+@cache
+def _rules(app: str) -> tuple[Column, Column]:
+    """Crawler and probe as columns, put together once per application: that takes a second."""
+    return match.crawler(F.col("ua")), match.probe(F.col("hunt_path"))
+
+
+def _asked(spark: SparkSession, sf_dir: str, stream: bool, what: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     if stream:
         events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    return spark.sql(DERIVED.replace("FROM events e", "FROM {events} e") + " SELECT * FROM derived", events=events)
+    return spark.sql(DERIVED.replace("FROM events e", "FROM {events} e") + what, events=events)
+
+
+def derived(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return _asked(spark, sf_dir, stream, " SELECT * FROM derived")
 
 
 def log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
@@ -80,10 +92,12 @@ def log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     derived from user_id and event_id.
     """
     d = derived(spark, sf_dir, stream).withColumn("seq", F.struct("ts", "event_id"))
-    c = match.crawler(F.col("ua"))
+    # The dimensions are a dozen rows each: their rows meet the rule tables, not the events'.
+    agents = _asked(spark, sf_dir, False, " SELECT ua FROM ua_dim").withColumn("c", _rules(spark.sparkContext.applicationId)[0])
+    hunts = _asked(spark, sf_dir, False, " SELECT hunt_path FROM hunt_dim").withColumn("p", _rules(spark.sparkContext.applicationId)[1])
     of = lambda *kinds: F.col("kind").isin(*kinds)
     only = lambda value, *kinds: F.when(of(*kinds), value)
-    d = d.withColumn("c", c).withColumn("p", match.probe(F.col("hunt_path")))
+    d = d.join(F.broadcast(agents), "ua").join(F.broadcast(hunts), "hunt_path")
     mod = lambda n: F.col("event_id") % n
     verdict = F.when(mod(3) == 0, "verified").when(mod(3) == 1, "impersonating").otherwise("unverifiable")
     return d.select(
