@@ -184,7 +184,8 @@ def stream_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_stages(spark: SparkSession, d: str) -> DataFrame:
-    rises = materialise_stream(live.live_sessions(stream_log(spark, d)))
+    with live.only_data(spark):
+        rises = materialise_stream(live.live_sessions(stream_log(spark, d)))
     return rises.groupBy("actor").agg(F.max_by("stage", sessions.stage_rank(F.col("stage"))).alias("stage"))
 
 

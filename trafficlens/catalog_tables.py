@@ -6,14 +6,18 @@ and `events`; the SQL decides by other means than the operators (whole-text cond
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import LOG, add, on_log
-from .catalog_payloads import LABELS, requests
+from .catalog_payloads import LABELS, materialise_stream, requests, stream_log
 from .operators import attacks, identity, robots, rulesets
 from .plans import derived
+from .shared import materialise, shared_dir
 from .sources import log as source
+from .streaming import live
 
 
 def asked(spark: SparkSession, d: str, sql: str, *tables: str) -> DataFrame:
@@ -97,3 +101,32 @@ add("G5_claims_again", lambda spark, d: identity.dedupe_claims(derived.log(spark
 t AS (SELECT DISTINCT string_split(ip, '.')[1] || '.' || string_split(ip, '.')[2] AS ip, claimed_crawler AS claim, ts FROM log WHERE claimed_crawler IS NOT NULL),
 kept(ip, claim, ts) AS (SELECT ip, claim, min(ts) FROM t GROUP BY 1, 2 UNION ALL SELECT t.ip, t.claim, min(t.ts) FROM kept JOIN t ON kept.ip = t.ip AND kept.claim = t.claim WHERE t.ts >= kept.ts + INTERVAL 2 DAY GROUP BY 1, 2)
 SELECT * FROM kept""")
+
+
+# -- streams whose state ends, and the streaming sink (2S)
+def defied(spark: SparkSession, d: str) -> DataFrame:
+    """Forbidden fetches after a robots file was read, by a stream of the log."""
+    verdicts = materialise(robots.disallowed(derived.log(spark, d).where("kind = 'request'"), robots.published_rules(spark)).withColumnRenamed("disallowed", "forbidden"))
+    stream = stream_log(spark, d).join(verdicts, ["ua", "path"], "left").withColumnRenamed("ua", "client")
+    with live.only_data(spark):
+        return materialise_stream(live.live_defied(stream))
+
+
+add("S7_live_defiance", defied, LOG + """, r AS (SELECT ua, min(ts) AS first FROM log WHERE kind IN ('policy_read', 'trap_hit') AND standard IN ('robots', 'robots_wellknown') GROUP BY ua)
+SELECT ua AS client, ts, path FROM log JOIN r USING (ua) WHERE kind = 'request' AND ts > first AND path <> '/robots.txt' AND (ua_k < 4 OR path IN ('/docs/restricted/index.html', '/internal/exports/quarterly.html'))""")
+
+
+def silver(spark: SparkSession, d: str) -> DataFrame:
+    """The log streamed into a silver table, whose last batch is then written once more as after a lost commit."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    stream = stream_log(spark, d)
+    live.to_silver(stream, f"{folder}/silver", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    table = spark.read.parquet(f"{folder}/silver")
+    last = table.agg(F.max("batch")).first()[0]
+    if last is not None:
+        again = materialise(table.where(F.col("batch") == last).drop("day", "batch"))
+        live.write_silver_batch(again, int(last.rsplit("-", 1)[1]), f"{folder}/silver")
+    return spark.read.parquet(f"{folder}/silver").groupBy("kind", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
+
+
+add("S1_silver", silver, LOG + "SELECT kind, strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT event_id) AS ids FROM log GROUP BY 1, 2")

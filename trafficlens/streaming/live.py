@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules as fixed
@@ -58,48 +62,93 @@ def _rank(pdf: pd.DataFrame) -> pd.Series:
     return rank
 
 
-def live_sessions(stream: DataFrame) -> DataFrame:
+def live_sessions(stream: DataFrame, ttl: timedelta = timedelta(days=30)) -> DataFrame:
     """actor, ts, stage, events: a row whenever an actor reaches a higher stage than before (and its first).
 
-    The state of an actor is two numbers, so a hot actor costs no more than others.
+    An actor's state is two numbers, so a hot actor costs no more than others, and is dropped when the actor has been
+    silent for `ttl` of the stream's running time: it then begins anew.
     """
+    wait = int(ttl.total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         best, events = state.get if state.exists else (-1, 0)
         for pdf in batches:
             pdf = pdf.sort_values(["ts", "kind"], kind="stable")
-            for ts, rank in zip(pdf["ts"], _rank(pdf), strict=True):
-                events += 1
-                if rank > best:
-                    best = int(rank)
-                    yield pd.DataFrame({"actor": [key[0]], "ts": [ts], "stage": [fixed.STAGES[best]], "events": [events]})
+            rank = _rank(pdf).to_numpy()
+            risen = np.maximum.accumulate(np.append(best, rank))
+            at = np.flatnonzero(risen[1:] > risen[:-1])
+            if len(at):
+                yield pd.DataFrame({"actor": key[0], "ts": pdf["ts"].to_numpy()[at], "stage": [fixed.STAGES[r] for r in rank[at]], "events": events + at + 1})
+            best, events = int(risen[-1]), events + len(pdf)
         state.update((best, events))
+        state.setTimeoutDuration(wait)
 
     has = set(stream.columns)
     carried = [F.size(c) > 0 for c in ("attacks", "honeytokens") if c in has] + ([(F.size("indicators.wallets") > 0) | (F.size("indicators.pools") > 0) | (F.size("indicators.urls") > 0) | (F.size("indicators.miners") > 0)] if "indicators" in has else [])
     payload = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(True)) for c in carried], F.lit(False))
     slim = stream.where("actor <> ''").select("actor", "ts", "kind", "family", "web_attack", "decoy_served", "stage", payload.alias("payload"))
-    return slim.groupBy("actor").applyInPandasWithState(run, "actor string, ts timestamp, stage string, events long", "best int, events long", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("actor").applyInPandasWithState(run, "actor string, ts timestamp, stage string, events long", "best int, events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_defied(stream: DataFrame) -> DataFrame:
+def live_defied(stream: DataFrame, ttl: timedelta = timedelta(days=30)) -> DataFrame:
     """client, ts, path: forbidden fetches after the client's first read of a robots file, as they come.
 
-    The stream needs client, ts, kind, standard, path and forbidden (the verdict of the rules for its request).
+    The stream needs client, ts, kind, standard, path and forbidden (the verdict of the rules for its request).  A
+    client's state is the time of its first read, and is dropped when the client has been silent for `ttl` of the stream's
+    running time.  Fetches are held against the reads that have come by the end of their micro-batch, so a task holds one
+    client's forbidden fetches of one micro-batch; a read that comes in a later one doesn't call them back.
     """
+    wait = int(ttl.total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        read = state.exists
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        held = []
         for pdf in batches:
-            pdf = pdf.sort_values("ts", kind="stable")
-            reads = pdf["kind"].isin(["policy_read", "trap_hit"]) & pdf["standard"].isin(fixed.ROBOTS_STANDARDS)
-            after = reads.cumsum().gt(0) | read
-            defied = pdf[after & pdf["kind"].eq("request") & pdf["forbidden"].eq(True)]
-            read = read or bool(reads.any())
-            if len(defied):
-                yield pd.DataFrame({"client": key[0], "ts": defied["ts"], "path": defied["path"]})
-        if read:
-            state.update((True,))
-
-    slim = stream.select("client", "ts", "kind", "standard", "path", "forbidden")
-    return slim.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, path string", "read boolean", "append", GroupStateTimeout.NoTimeout)
+            reads = pdf.loc[pdf["kind"].isin(["policy_read", "trap_hit"]) & pdf["standard"].isin(fixed.ROBOTS_STANDARDS), "ts"].min()
+            if pd.notna(reads) and (first is None or reads < first):
+                first = reads
+            held.append(pdf.loc[pdf["kind"].eq("request") & pdf["forbidden"].eq(True), ["ts", "path"]])
+        if first is None:
+            return
+        state.update((first.value // 1000,))
+        state.setTimeoutDuration(wait)
+        for fetches in held:
+            after = fetches[fetches["ts"] > first]
+            if len(after):
+                yield pd.DataFrame({"client": key[0], "ts": after["ts"], "path": after["path"]})
+
+    slim = stream.where("client is not null").select("client", "ts", "kind", "standard", "path", "forbidden")
+    return slim.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, path string", "first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+@contextmanager
+def only_data(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside run no batch without new data.  State that ends by running time asks for such batches for
+    ever, so a stream that should stop when it has read what is there (availableNow) must be started so."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_silver_batch(batch: DataFrame, number: int, silver: str, source: str = "log") -> None:
+    """A micro-batch as silver/kind=/day=/batch=: what an earlier attempt at the same batch wrote there is replaced, so a
+    stream that is stopped between its data and its commit gives each row once when it starts again."""
+    rows = batch.withColumns({"day": F.coalesce(F.date_format("ts", "yyyy-MM-dd"), F.lit("unknown")), "kind": F.coalesce("kind", F.lit("unknown")), "batch": F.lit(f"{source}-{number:012d}")})
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("kind", "day", "batch").parquet(silver)
+
+
+def to_silver(stream: DataFrame, silver: str, checkpoint: str, source: str = "log") -> DataStreamWriter:
+    """The writer of a stream of events into the silver table; start it with a trigger of your choice.  `source` tells
+    apart the batches of streams that write to one table.  Reads of the table prune kind and day."""
+    return stream.writeStream.foreachBatch(lambda batch, number: write_silver_batch(batch, number, silver, source)).option("checkpointLocation", checkpoint)
