@@ -160,3 +160,63 @@ def publish(spark: SparkSession, src: str, dst: str, manifest: DataFrame, key: b
     days = [(r["stream"], r["day"]) for r in rows.select("stream", "day").collect()]
     new = counts.join(rows, ["stream", "day"], "left").join(sinks.published_days(spark, dst, days), ["stream", "day"], "left").fillna(0, ["rows", "bytes"])
     return sinks.update_manifest(manifest, new, now)
+
+
+def publish_run(spark: SparkSession, src: str, dst: str, run: str, key: bytes, salt: str, now: datetime, lag_minutes: int = 60) -> DataFrame:
+    """The daily job in two phases: the days that no earlier run has committed go to dst/runs/<run>, then the run's entries
+    of the manifest to dst/commits/<run>, which makes them public.  Returns the manifest.
+
+    A run that is lost before its commit has published nothing: its folder is no one's (`unfinished`), and the days come
+    with the next run.  A run repeated under its own name replaces its folder, but a committed run is not run again.
+    """
+    known = materialise(committed(spark, dst))
+    if not _exists(spark, f"{dst}/commits/{run}/_SUCCESS"):
+        entries = publish(spark, src, f"{dst}/runs/{run}", known, key, salt, now, lag_minutes)
+        commit_run(entries.join(known.select("stream", "day"), ["stream", "day"], "left_anti"), dst, run)
+    return committed(spark, dst)
+
+
+def commit_run(entries: DataFrame, dst: str, run: str) -> None:
+    """The second phase: one file of a line per stream and day, in its place by one rename."""
+    entries.coalesce(1).sortWithinPartitions("stream", "day").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{dst}/commits/{run}")
+
+
+def committed(spark: SparkSession, dst: str) -> DataFrame:
+    """The manifest: the entries of all runs that were committed."""
+    runs = [r for r in _children(spark, f"{dst}/commits") if _exists(spark, f"{dst}/commits/{r}/_SUCCESS")]
+    reader = spark.read.schema(sinks.MANIFEST)
+    return reader.json([f"{dst}/commits/{r}" for r in runs]) if runs else spark.createDataFrame([], sinks.MANIFEST)
+
+
+def read_published(spark: SparkSession, dst: str, schema: str) -> DataFrame:
+    """The public events, with stream and day: of committed runs alone, and of these the folders that the manifest names."""
+    folders = [r["path"] for r in committed(spark, dst).where("path is not null").select("path").collect()]
+    whole = f"{schema}, stream string, day string"
+    # The folders lie under several runs, so the partition columns are read off the path.
+    place = lambda name: F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]*)/", 1).alias(name)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(folders).select("*", place("stream"), place("day")) if folders else spark.createDataFrame([], whole)
+
+
+def unfinished(spark: SparkSession, dst: str) -> list[str]:
+    """Runs that left data and no commit: lost, or still going on."""
+    return [r for r in _children(spark, f"{dst}/runs") if not _exists(spark, f"{dst}/commits/{r}/_SUCCESS")]
+
+
+def discard(spark: SparkSession, dst: str, run: str) -> None:
+    """Deletes the data of a run that was lost before its commit."""
+    if run not in unfinished(spark, dst):
+        raise ValueError(f"{run} is no unfinished run")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{dst}/runs/{run}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of one entry a run; none if there is no such folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(there)) if fs.exists(there) else []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.log import read_log
+
 OVERVIEW = {
     "kinds": "SELECT kind, count(*) AS n FROM events GROUP BY kind ORDER BY n DESC, kind",
     "faces": "SELECT face, count(*) AS n FROM events WHERE kind = 'request' GROUP BY face ORDER BY n DESC, face",
@@ -19,6 +21,14 @@ def register_views(events: DataFrame, **others: DataFrame) -> None:
         df.createOrReplaceTempView(name)
 
 
+def register_events_view(spark: SparkSession, path: str, name: str = "events") -> DataFrame:
+    """Names the log files of a directory or glob as a view, union by name: a field that a line lacks is null, malformed
+    lines are left out, and what no field names is in `raw` (`variant_get(raw, '$.field', 'string')`)."""
+    log = read_log(spark, path).drop("line")
+    log.createOrReplaceTempView(name)
+    return log
+
+
 def query(spark: SparkSession, sql: str, as_json: bool = False) -> DataFrame:
     found = spark.sql(sql)
     return found.selectExpr("to_json(struct(*), map('ignoreNullFields', 'false')) AS json") if as_json else found

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ipaddress
+import re
+import uuid
 from datetime import date, datetime
 
 import pandas as pd
@@ -12,10 +14,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..schema import FIELDS
+from ..shared import materialise
 
-#: Names of day files: stream prefix, day, compression.
-FILE = r"(?:^|/)(tls-)?(\d{4}-\d{2}-\d{2})\.jsonl(\.gz)?$"
+#: Names of day files: stream prefix, day, compression.  A day may come in numbered chunks (2026-01-01.0003.jsonl).
+FILE = r"(?:^|/)(tls-)?(\d{4}-\d{2}-\d{2})(?:\.\d+)?\.jsonl(\.gz)?$"
+#: The day of such a name.
+DAY = r"(\d{4}-\d{2}-\d{2})(?:\.\d+)?\.jsonl"
 CORRUPT = "_corrupt_record"
+#: Lines of a chunk of a landed day.
+CHUNK_LINES = 5_000_000
+#: Bytes of a compacted file, about.
+FILE_BYTES = 128 << 20
+#: Folder of a silver table in which a compaction puts its files before they take their places.
+PACKED = "_packed"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +36,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     only within one reading: write the log before it is read twice.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    day = F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2})\.jsonl", 1)
+    day = F.regexp_extract("file", DAY, 1)
     seq = F.struct(F.when(day != "", day).otherwise(F.col("file")).alias("day"), "file", "block", F.monotonically_increasing_id().alias("line"))
     return lines.where(F.trim("value") != "").select(F.col("value").alias("line"), seq.alias("seq"), day.alias("day"))
 
@@ -79,10 +90,34 @@ def day_files(spark: SparkSession, path: str) -> DataFrame:
 
 def choose_files(names: DataFrame) -> DataFrame:
     parsed = names.where(F.col("file").rlike(FILE)).withColumns({"stream": F.when(F.regexp_extract("file", FILE, 1) != "", "tls").otherwise("events"), "day": F.regexp_extract("file", FILE, 2), "gz": F.regexp_extract("file", FILE, 3) != ""})
-    first = F.row_number().over(W.partitionBy("stream", "day").orderBy("gz", "file"))
+    first = F.row_number().over(W.partitionBy(F.regexp_replace("file", r"\.gz$", "")).orderBy("gz"))
     return parsed.withColumn("k", first).where("k = 1").drop("k")
 
 
+def land_days(lines: DataFrame, root: str, most: int = CHUNK_LINES) -> None:
+    """(stream, day, line) -> day files under root, each in chunks of at most `most` lines; for tests, imports and queries.
+
+    The lines are written where nobody looks for a log, then each part gets its name by one rename, so a reader never sees
+    half a file.  Of a day that is landed again the new chunks replace the old ones of the same numbers.
+    """
+    spark = lines.sparkSession
+    staged = f"{root}/_landing-{uuid.uuid4().hex}"
+    lines.write.partitionBy("stream", "day").option("maxRecordsPerFile", most).text(staged)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f["path"] for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(staged).select("path").collect())
+    number: dict[str, int] = {}
+    for part in parts:
+        stream, day = re.search(r"/stream=([^/]*)/day=([^/]*)/", part).groups()
+        name = f"{'tls-' if stream == 'tls' else ''}{day}"
+        number[name] = number.get(name, -1) + 1
+        to = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.{number[name]:06d}.jsonl")
+        fs.delete(to, False)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), to):
+            raise OSError(f"could not name {part}")
+    fs.delete(folder, True)
+
+
 def pending_days(files: DataFrame, manifest: DataFrame, now: datetime, lag_minutes: int = 60) -> DataFrame:
     """Files of days that are over by the lag and not in the manifest (stream, day)."""
     over = (F.to_timestamp("day") + F.expr("INTERVAL 1 DAY") + F.make_dt_interval(mins=F.lit(lag_minutes))) <= F.lit(now)
@@ -103,9 +138,51 @@ def to_silver(log: DataFrame, out: str) -> None:
     log.drop("line").write.mode("append").partitionBy("kind", "day").parquet(out)
 
 
-def compact_day(spark: SparkSession, silver: str, day: str, out: str) -> None:
-    """Rewrites a day's many small files as one per kind."""
-    spark.read.parquet(silver).where(F.col("day") == day).repartition("kind").write.partitionBy("kind", "day").parquet(out)
+def compact_days(spark: SparkSession, silver: str, days: list[str], target: int = FILE_BYTES) -> None:
+    """Packs the many small files of finished days of the silver table, in the order of their names, into files of about
+    `target` bytes (more by one small file at most), kind by kind; one task writes one file, so no kind is one task.
+
+    The packed rows are first written whole beside the table, and then each folder of the table gives way to its packed
+    one.  A run that is lost is repeated: before the packed copy is whole nothing has changed, after it the next run of
+    this function, for whatever days, finishes what was left.  Days without files are skipped.  The table is partitioned
+    by kind and day alone.  Rows keep their values, not their order across files.
+    """
+    finish_compaction(spark, silver)
+    wanted = spark.read.parquet(silver).where(F.col("day").cast("string").isin(days))
+    bins = materialise(file_bins(wanted, target))
+    last = bins.agg(F.max("bin")).first()[0]
+    if last is None:
+        return
+    # bins is a written table of one row a file: Spark sends it to all executors if its size allows.
+    rows = wanted.withColumn("__file", F.col("_metadata.file_path")).join(bins.select(F.col("file").alias("__file"), F.col("bin").alias("__bin")), "__file").drop("__file")
+    rows.repartitionById(last + 1, "__bin").drop("__bin").write.mode("overwrite").partitionBy("kind", "day").parquet(f"{silver}/{PACKED}")
+    finish_compaction(spark, silver)
+
+
+def finish_compaction(spark: SparkSession, silver: str) -> None:
+    """Puts a whole packed copy, if there is one, in the place of its days; one that isn't whole is written again later."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    packed = path(f"{silver}/{PACKED}")
+    fs = packed.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(packed, "_SUCCESS")):
+        return
+    for kind in (f.getPath() for f in fs.listStatus(packed) if f.isDirectory()):
+        for day in (f.getPath() for f in fs.listStatus(kind) if f.isDirectory()):
+            to = path(f"{silver}/{kind.getName()}/{day.getName()}")
+            fs.delete(to, True)
+            if not fs.rename(day, to):
+                raise OSError(f"could not move {day} to {to}")
+    fs.delete(packed, True)
+
+
+def file_bins(table: DataFrame, target: int) -> DataFrame:
+    """file, bin of a table partitioned by kind and day: files in the order of their names fill bins of about `target`
+    bytes, none over two kinds or days; bins are numbered from 0.  What is ordered here is one row a file."""
+    files = table.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), "kind", "day").distinct()
+    before = F.coalesce(F.sum("bytes").over(W.partitionBy("kind", "day").orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = files.withColumn("part", F.floor(before / target))
+    numbered = files.select("kind", "day", "part").distinct().withColumn("bin", F.row_number().over(W.orderBy("kind", "day", "part")) - 1)
+    return files.join(numbered, (files["kind"].eqNullSafe(numbered["kind"])) & (files["day"].eqNullSafe(numbered["day"])) & (files["part"] == numbered["part"])).select("file", F.col("bin").cast("int").alias("bin"))
 
 
 # -- address ranges

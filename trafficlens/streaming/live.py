@@ -14,14 +14,14 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules as fixed
-from ..sources.log import is_event, parse
+from ..sources.log import DAY, is_event, parse
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of new files under a path.  A stream has no line order: sort by (ts, rid, kind).  Land closed chunks with
     rising modification times, as the source sees files, not appended lines."""
     lines = spark.readStream.format("text").load(path).where(F.trim("value") != "")
-    named = lines.select(F.col("value").alias("line"), F.lit(None).cast("string").alias("seq"), F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2}-\d{2})\.jsonl", 1).alias("day"))
+    named = lines.select(F.col("value").alias("line"), F.lit(None).cast("string").alias("seq"), F.regexp_extract("_metadata.file_name", DAY, 1).alias("day"))
     log = parse(named).where(is_event(F.col("raw"))).drop("raw", "line", "seq")
     return log.withColumn("ts", F.try_to_timestamp("ts"))
 
@@ -39,6 +39,46 @@ def rolling_digest(stream: DataFrame, days: int, late: str = "60 minutes") -> Da
     return found.select(F.col("w.start").alias("since"), F.col("w.end").alias("until"), "events", "requests", "credential_attempts", "actors")
 
 
+def day_sketches(stream: DataFrame, late: str = "60 minutes", k: int = 12) -> DataFrame:
+    """day, events, requests, credential_attempts, actors: a row when a day closes; `actors` is a sketch of 2**k registers
+    (some kilobytes, relative error about 1.04 / 2**(k / 2)), which days of any number can merge (`merge_days`)."""
+    days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
+    found = days.agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "request").alias("requests"), F.count_if(F.col("kind") == "credential").alias("credential_attempts"), F.hll_sketch_agg("actor", k).alias("actors"))
+    return found.select(F.col("w.start").alias("day"), "events", "requests", "credential_attempts", "actors")
+
+
+def merge_days(sketches: DataFrame, days: int) -> DataFrame:
+    """since, until, events, requests, credential_attempts, actors (about): windows of the days up to each day, made of
+    day_sketches alone, so that no event is read again when the window moves."""
+    each = sketches.withColumn("until", F.explode(F.sequence(F.date_trunc("day", "day") + F.expr("INTERVAL 1 DAY"), F.date_trunc("day", "day") + F.make_dt_interval(F.lit(days)), F.expr("INTERVAL 1 DAY"))))
+    total = each.groupBy("until").agg(F.sum("events").alias("events"), F.sum("requests").alias("requests"), F.sum("credential_attempts").alias("credential_attempts"), F.hll_sketch_estimate(F.hll_union_agg("actors")).alias("actors"))
+    return total.select((F.col("until") - F.make_dt_interval(F.lit(days))).alias("since"), "until", "events", "requests", "credential_attempts", "actors")
+
+
+def count_late(stream: DataFrame, counts: str, checkpoint: str, late: timedelta = timedelta(minutes=60)) -> DataStreamWriter:
+    """The writer of a table counts/batch= (seen, day, late): the greatest time each micro-batch saw, and per day how many of
+    its events came after an earlier micro-batch had gone past the day's end by `late`, when the day was closed.
+
+    A micro-batch that is repeated after a crash replaces its own rows and sees the same earlier ones, so nothing is
+    counted twice.  Batches without late events keep one row (day null); events without a time are never late.
+    """
+
+    def count(batch: DataFrame, number: int) -> None:
+        spark, shape = batch.sparkSession, "seen timestamp, day date, late long, batch long"
+        batch = batch.select("ts")
+        path = spark._jvm.org.apache.hadoop.fs.Path(counts)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        before = spark.read.schema(shape).parquet(counts).where(F.col("batch") < number).agg(F.max("seen")).first()[0] if there else None
+        closed = F.lit(before - late if before is not None else None).cast("timestamp")
+        day = F.to_date("ts")
+        is_late = (F.date_add(day, 1).cast("timestamp") <= closed) & F.col("ts").isNotNull()
+        by_day = batch.groupBy(F.when(is_late, day).alias("day")).agg(F.max("ts").alias("seen"), F.count("*").alias("n"))
+        rows = by_day.select("seen", "day", F.when(F.col("day").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("late"), F.lit(number).cast("long").alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(counts)
+
+    return stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+
+
 def dedupe_claims(stream: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """Each (ip, claimed) once per ttl."""
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["ip", "claimed"])
