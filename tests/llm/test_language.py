@@ -1,10 +1,13 @@
 import itertools
 import math
+import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
+from trafficlens.llm import language
 from trafficlens.llm.language import Vocabulary, default_path, expected_counts, identify, log_likelihoods, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, score string"
@@ -69,6 +72,46 @@ def test_long_words_and_long_pieces(voc):
     assert (counts * [len(x) for x in voc.pieces]).sum() == pytest.approx(sum(len(w.encode()) + 1 for w in words))
 
 
+def test_words_in_blocks(voc, monkeypatch):
+    """Words that are summed block by block give what they give as a whole, at every place where a block may end."""
+    rng = np.random.default_rng(5)
+    p = rng.random((voc.size + 1, 3)) ** 4
+    p[-1] = 0
+    p /= p.sum(0)
+    letters, long_piece = "abcdefghinostéü語", max(voc.pieces, key=len).decode()
+    words = ["".join(random.Random(n).choices(letters, k=n)) for n in (255, 256, 300, 511, 700)] + [long_piece * 5, "the" * 150]
+    monkeypatch.setattr(language, "LONG", 10**9)
+    with np.errstate(over="ignore"):
+        whole, counts = log_likelihoods(words, p, voc), expected_counts(words, np.arange(len(words)), p[:, :1], voc)
+        monkeypatch.setattr(language, "LONG", 256)
+        for block in (64, 257, 8192):
+            monkeypatch.setattr(language, "BLOCK", block)
+            assert log_likelihoods(words, p, voc) == pytest.approx(whole, rel=1e-10)
+            assert expected_counts(words, np.arange(len(words)), p[:, :1], voc) == pytest.approx(counts, abs=1e-7)
+
+
+def test_memory_of_a_very_long_word(voc):
+    p = np.full((voc.size + 1, 4), 1 / voc.size)
+    p[-1] = 0
+    word = "".join(random.Random(1).choices("abcdefghinost", k=200_000))
+    with np.errstate(over="ignore"):
+        log_likelihoods(["the"], p, voc)
+        tracemalloc.start()
+        found = log_likelihoods([word], p, voc)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert np.isfinite(found).all() and peak < 40_000_000
+
+
+def test_unlikely_words_do_not_underflow(voc):
+    """The least probability that a fit can give, for every piece."""
+    p = np.full((voc.size + 1, 2), 1e-9)
+    p[-1] = 0
+    with np.errstate(over="ignore"):
+        found = log_likelihoods(["ฟ" * n for n in range(1, 40)], p, voc)
+    assert np.isfinite(found).all() and (np.diff(found[:, 0]) < 0).all()
+
+
 def test_vocabulary_finds_its_pieces(voc):
     with np.errstate(over="ignore"):
         h = np.array([Vocabulary._hash(x) for x in voc.pieces], np.uint64)

@@ -21,8 +21,10 @@ from .tokens import byte_pieces, default_path
 
 #: Documents of a language that the probabilities are fitted on, about (chosen by hash), and rounds of the fit.
 FIT_DOCS, ROUNDS = 1_500, 3
-#: Words of more bytes are summed by logarithms, since their likelihoods would underflow.
-LINEAR = 64
+#: Words of more bytes are summed by logarithms, since their likelihoods could underflow (a piece has 1e-9 at least).
+LINEAR = 32
+#: Words of more bytes are summed one by one, BLOCK positions at a time.
+LONG, BLOCK = 256, 8192
 #: Characters that a task scores at once.
 CHARS_AT_ONCE = 8_000_000
 UNKNOWN = "und"
@@ -48,6 +50,7 @@ class Vocabulary:
         able = re.compile(rb" ?[a-z\x80-\xff]+| ")
         self.pieces = [p for p in sorted(byte_pieces(path)[0]) if able.fullmatch(p)]
         self.size, self.longest = len(self.pieces), max(map(len, self.pieces))
+        self.lengths = set(map(len, self.pieces))
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         self.key, self.value = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, self.size, np.int32)
         self.depth = 1
@@ -81,11 +84,11 @@ class Vocabulary:
         return out
 
     def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """Words by length: (which words, length n, index [n + 1, longest + 1, words] of the piece of each length that
-        ends at each place)."""
-        raw = [b" " + w.encode("utf-8", "replace") for w in words]
-        size = np.array(list(map(len, raw)))
-        for n in np.unique(size):
+        """Words of up to LONG bytes by length: (which words, length n, index [n + 1, longest + 1, words] of the piece of
+        each length that ends at each place)."""
+        raw = [b" " + w.encode("utf-8", "replace") if len(w) < LONG else b"" for w in words]
+        size = np.array([len(r) or LONG + 1 for r in raw], np.int64)
+        for n in np.unique(size[size <= LONG]):
             which = np.flatnonzero(size == n)
             most = min(self.longest, int(n))
             for some in np.array_split(which, -(-len(which) * int(n) * most // 4_000_000)):
@@ -102,6 +105,29 @@ class Vocabulary:
                 yield some, int(n), index
 
 
+    def hits(self, word: bytes, begin: int, end: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(bounds, length, piece) of the pieces that end at the places begin + 1 .. end of a word; those of place
+        begin + 1 + k lie at bounds[k] .. bounds[k + 1].  Memory grows with end - begin, not with the word."""
+        low = max(0, begin - self.longest + 1)
+        b = np.frombuffer(word, np.uint8, end - low, low).astype(np.uint64) + np.uint64(1)
+        h, at, lengths, pieces = np.zeros(len(b) + 1, np.uint64), [], [], []
+        for length in range(1, min(self.longest, end) + 1):
+            # h[k]: hash of the span of this length that starts at low + k.
+            h = h[: len(b) - length + 1] * _BASE + b[length - 1 :]
+            if length not in self.lengths:
+                continue
+            skip = max(0, begin + 1 - low - length)
+            index = self.find(h[skip:])
+            some = np.flatnonzero(index != self.size)
+            at.append(some + (skip + low + length))
+            lengths.append(np.full(len(some), length, np.int32))
+            pieces.append(index[some])
+        place = np.concatenate(at)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(begin + 1, end + 2)).tolist()
+        return bounds, np.concatenate(lengths)[order], np.concatenate(pieces)[order]
+
+
 @cache
 def vocabulary(path: str | None = None) -> Vocabulary:
     """Without a path the default vocabulary, found where this runs."""
@@ -134,6 +160,55 @@ def forward_log(index: np.ndarray, n: int, log_p: np.ndarray) -> np.ndarray:
     return a
 
 
+def forward_long(word: bytes, log_p: np.ndarray, voc: Vocabulary, whole: np.ndarray | None = None) -> np.ndarray:
+    """[languages]: `forward_log` of one word of any length, holding a block of positions and the longest piece before it.
+    `whole` [n + 1], for one language alone, takes the value at every position."""
+    back, n = voc.longest, len(word)
+    a = np.full((back + BLOCK + 1, log_p.shape[1]), -np.inf)
+    a[back] = 0
+    for begin in range(0, n, BLOCK):
+        end = min(n, begin + BLOCK)
+        bounds, length, piece = voc.hits(word, begin, end)
+        gain = log_p[piece]
+        for k in range(end - begin):
+            of = slice(bounds[k], bounds[k + 1])
+            i = back + k + 1
+            a[i] = np.logaddexp.reduce(a[i - length[of]] + gain[of], axis=0)
+        if whole is not None:
+            whole[begin : end + 1] = a[back : back + end - begin + 1, 0]
+        a[: back + 1] = a[end - begin : end - begin + back + 1].copy()
+    return a[back]
+
+
+def counts_long(word: bytes, log_p: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """Expected counts of the pieces in one word of one language: what is kept for every position is two numbers."""
+    n = len(word)
+    a, b, out = np.zeros(n + 1), np.full(n + 1, -np.inf), np.zeros(voc.size + 1)
+    forward_long(word, log_p, voc, a)
+    b[n] = 0
+    for begin in reversed(range(0, n, BLOCK)):
+        end = min(n, begin + BLOCK)
+        bounds, length, piece = voc.hits(word, begin, end)
+        gain = log_p[piece, 0]
+        for k in reversed(range(end - begin)):
+            of, i = slice(bounds[k], bounds[k + 1]), begin + k + 1
+            start = i - length[of]
+            b[start] = np.logaddexp(b[start], b[i] + gain[of])
+        i = np.repeat(np.arange(begin + 1, end + 1), np.diff(bounds))
+        out += np.bincount(piece, np.exp(a[i - length] + gain + b[i] - a[n]), voc.size + 1)
+    return out
+
+
+def long_words(words: list[str]) -> Iterator[tuple[int, bytes]]:
+    """Which words have more than LONG bytes, and their bytes."""
+    for i, w in enumerate(words):
+        # A character has four bytes at most.
+        if len(w) * 4 + 1 > LONG:
+            raw = b" " + w.encode("utf-8", "replace")
+            if len(raw) > LONG:
+                yield i, raw
+
+
 def log_likelihoods(words: list[str], p: np.ndarray, voc: Vocabulary) -> np.ndarray:
     """[words, languages]; every byte is a piece and every piece has some probability, so no word is impossible."""
     out = np.zeros((len(words), p.shape[1]))
@@ -141,6 +216,8 @@ def log_likelihoods(words: list[str], p: np.ndarray, voc: Vocabulary) -> np.ndar
         log_p = np.log(p)
     for which, n, index in voc.spans(words):
         out[which] = np.log(forward(index, n, p)[n]) if n <= LINEAR else forward_log(index, n, log_p)[n]
+    for i, raw in long_words(words):
+        out[i] = forward_long(raw, log_p, voc)
     return out
 
 
@@ -171,6 +248,8 @@ def expected_counts(words: list[str], times: np.ndarray, p: np.ndarray, voc: Voc
         for i, length, some in found:
             at = index[i, length, some]
             out += np.bincount(at, a[i - length, some] * p[at, 0] * b[i, some] * scale[some], voc.size + 1)
+    for i, raw in long_words(words):
+        out += weight[i] * counts_long(raw, log_p, voc)
     return out[: voc.size]
 
 
@@ -244,8 +323,9 @@ def identify(docs: DataFrame, train: DataFrame, tokenizer: str | None = None) ->
                         found = log_likelihoods(unseen, p, voc)
                     known.update(zip(unseen, found, strict=True))
                     each = np.array([known[w] for w in place])
-                    if len(known) > CACHE:
-                        for w in unseen:
+                    full = len(known) > CACHE
+                    for w in unseen:
+                        if full or len(w) > LONG:
                             del known[w]
                     some = np.flatnonzero(sizes)
                     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[some]
