@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.operators import families
 from trafficlens.plans import publish
 from trafficlens.plans import sql as sql_plan
+from trafficlens.shared import shared_dir
 from trafficlens.sources import log as source
 from trafficlens.streaming import live
 
@@ -126,3 +128,9 @@ def test_forks(spark):
     got = {r.family: tuple(r)[1:] for r in families.fork_families(log).collect()}
     assert got == {"p001": (4, 2, 2, 2, 17, 1), "p003": (1, 1, 1, 0, 0, 0)}
     assert families.fork_families(log.limit(0)).collect() == []
+
+
+def test_no_local_folder_on_a_cluster():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).  Only a session without one, such as a
-    local test, gets a new temporary folder."""
+    """The folder that driver and executors share (spark.checkpoint.dir).  Only a local session without one, such as a
+    test's, gets a new temporary folder; on a cluster it would be no one else's."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
