@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.operators import indicators
+from trafficlens.plans import sql as sql_plan
+from trafficlens.streaming import live
 
 
 @pytest.fixture
@@ -34,3 +36,34 @@ def test_scan_goes_by_texts(spark, written):
     assert tuple(got) == (5_000, 5_000, 5_000, 5_000, 5_000)
     # Where it is not known whether a URL may be a payload (a header without a name), it is none.
     assert indicators.scan(parts.where("rid < '5' and rid in ('0', '2', '4') and pos = 0")).where(F.size("urls") > 0).isEmpty()
+
+
+EVENTS = [("policy_read", "t1", "s", 0, "a"), ("policy_read", "t1", None, 5, None), ("trap_hit", "t1", None, 6, "a"), ("trap_hit", "t1", None, 7, None), ("trap_hit", "t1", None, 8, "b"), ("policy_read", "t2", "s", 0, "a"), ("trap_hit", "t1", None, 60 * 24 + 3, "a"), ("trap_hit", None, None, 9, "a"), ("policy_read", "t1", "s", 7, "b"), ("trap_hit", "t1", None, 2, "c")]
+
+
+def events(spark, rows):
+    of = spark.createDataFrame(rows, "kind string, token string, standard string, minute int, ip string")
+    return of.withColumn("ts", F.timestamp_seconds(F.col("minute") * 60 + F.lit(1_700_000_000)))
+
+
+def test_read_fetch_counts(spark):
+    """The counts are those of the pairs, also where addresses or standards are unknown, and no pair is made."""
+    log = events(spark, EVENTS)
+    pairs = sql_plan.read_fetch(log).groupBy("token", "read_standard").agg(F.count("*").alias("pairs"), F.count_if(F.col("reader_ip") != F.col("fetcher_ip")).alias("split"))
+    assert sorted(map(str, sql_plan.read_fetch_counts(log).collect())) == sorted(map(str, pairs.collect()))
+    many = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "policy_read").otherwise("trap_hit").alias("kind"), F.lit("t").alias("token"), F.lit("s").alias("standard"), (F.col("id") % 10).cast("string").alias("ip"))
+    assert tuple(sql_plan.read_fetch_counts(many).first()) == ("t", "s", 10**10, 10**10)
+
+
+def test_live_read_fetch_counts(spark, tmp_path):
+    """Two micro-batches, with a read that comes after its fetch, count what the pairs of the whole log are."""
+    log = events(spark, EVENTS)
+    for n, rows in enumerate((EVENTS[::2], EVENTS[1::2])):
+        events(spark, rows).coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+    stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "part*"))
+    found = live.live_read_fetch_counts(stream(), stream())
+    found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("token").agg(F.sum("pairs"), F.sum("split")).collect()
+    pairs = live.live_read_fetch(log, log)
+    want = pairs.groupBy("token").agg(F.count("*"), F.count_if(F.col("reader_ip") != F.col("fetcher_ip"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
