@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.operators import indicators
 from trafficlens.plans import sql as sql_plan
+from trafficlens.sources import log as source
 from trafficlens.streaming import live
 
 
@@ -67,3 +68,23 @@ def test_live_read_fetch_counts(spark, tmp_path):
     pairs = live.live_read_fetch(log, log)
     want = pairs.groupBy("token").agg(F.count("*"), F.count_if(F.col("reader_ip") != F.col("fetcher_ip"))).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+def test_blocks_of_one_list_are_dealt(spark):
+    """An operator's list is not parsed by one task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lists = spark.range(1).select(F.lit("op").alias("operator"), F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.concat(F.lit("10."), i.cast("string"), F.lit(".0.0/16"))).alias("cidrs"))
+        dealt = source.ranges_of(lists).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        assert len(dealt) > 1 and sum(r["n"] for r in dealt) == 256
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_pattern_of_names_lists_the_folder(spark, tmp_path):
+    """A pattern is a filter of one folder's names, so the reader is given one path; other files are left alone."""
+    for name in ("2024-01-01.000000.jsonl", "2024-01-01.000001.jsonl", "notes.txt"):
+        (tmp_path / name).write_text('{"kind": "hunt"}\n')
+    assert source.read_log(spark, f"{tmp_path}/*.jsonl*").count() == 2
+    found = source.files_of(spark.read.format("text"), f"{tmp_path}/*.jsonl*")
+    assert len(found.inputFiles()) == 2 and "pathGlobFilter" not in found.columns
