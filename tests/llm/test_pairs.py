@@ -7,7 +7,7 @@ import numpy as np
 
 from trafficlens.llm.common import materialise
 from trafficlens.llm.embed_dedup import calibrated_count, near_duplicates
-from trafficlens.llm.line_dedup import ORDERS, SHINGLE, both_sides, dedup_lines, equal_values, lines, may_be_alike, packed, signatures, with_bitmaps
+from trafficlens.llm.line_dedup import BANDS, LEADERS, ORDERS, SHINGLE, both_sides, dedup_lines, equal_values, led, lines, may_be_alike, packed, signatures, with_bitmaps
 from trafficlens.llm.ngram_join import SCHEME, near_copies
 
 DOCS = "doc_id long, text string, kept string, class_id int, fp string, family string"
@@ -199,6 +199,28 @@ def test_line_prefilters(spark):
     assert sum(r.may for r in judged) < 0.1 * len(judged)
 
 
+def generated(plan):
+    """Rows that the explosions of an executed plan have made."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    return sum(map(generated, below)) + (plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0)
+
+
+def test_line_leaders_once(spark):
+    """A family in all buckets of the same lines meets its leaders once, not once a bucket."""
+    members = materialise(spark.createDataFrame([(fp, 1000 + band) for fp in range(100) for band in range(BANDS)], "fp long, bucket long"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = led(members)
+        found = [(r.a, r.b) for r in pairs.collect()]
+        made = generated(pairs._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    leaders = [x for x in range(100) if sum(x in p for p in found) == 99]
+    assert 1 <= len(leaders) <= LEADERS and len(found) == len(set(found))
+    assert set(found) == {(min(x, y), max(x, y)) for x in leaders for y in range(100) if x != y}
+    assert made == 100 * len(leaders)
+
+
 def test_line_columns(spark):
     """Columns named like the operator's own, and none but those it needs."""
     rows = [(1, "a line of text\nanother line", 5, 6, [1], 7), (2, "a line of text", 5, 6, [1], 8), (None, "a line of text", 5, 6, [1], 9)]

@@ -126,11 +126,14 @@ def inside(small: DataFrame) -> DataFrame:
 
 
 def led(members: DataFrame) -> DataFrame:
-    """members: fp, bucket -> each member with its bucket's leaders."""
+    """members: fp, bucket -> each member with the leaders of its buckets, each pair once."""
     leaders = members.groupBy("bucket").agg(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)))
     leaders = materialise(leaders.select("bucket", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leaders")))
     # Sent or shuffled by its size: one row per large bucket.
-    each = members.join(sent(leaders), "bucket").select("fp", F.explode("leaders").alias("l")).where("fp <> l")
+    # A family has about the same leaders in all its buckets, so a line gathers them before each gets a row: BANDS times
+    # LEADERS of them at most.
+    own = members.join(sent(leaders), "bucket").groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+    each = own.select("fp", F.explode("leaders").alias("l")).where("fp <> l")
     return each.select(F.least("fp", "l").alias("a"), F.greatest("fp", "l").alias("b")).distinct()
 
 
