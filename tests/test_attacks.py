@@ -2,8 +2,9 @@ import base64
 
 from pyspark.sql import functions as F
 
+from trafficlens import catalog_payloads
 from trafficlens.functions import decode, match
-from trafficlens.operators import attacks, credentials, indicators
+from trafficlens.operators import attacks, contents, credentials, indicators
 
 SCHEMA = "rid string, path string, raw_path string, raw_query string, headers array<array<string>>, body string, body_encoding string"
 
@@ -126,3 +127,21 @@ def test_probes(spark):
     rows = spark.createDataFrame([(p,) for p in cases], "p string").select("p", match.probe(F.col("p"))["family"].alias("f"), match.probe_scoped(F.col("p"), F.lit("ray"))["family"].alias("ray")).collect()
     assert {r.p: r.f for r in rows} == cases
     assert {r.p: r.ray for r in rows if r.ray} == {"/api/version": "ray"}
+
+
+def test_findings_written_once(spark, monkeypatch):
+    """What is found is written for each distinct content, not for each row of the log; every row still gets it."""
+    written, plain = [], contents.materialise
+    for module in (contents, catalog_payloads):
+        monkeypatch.setattr(module, "materialise", lambda df: written.append(df) or plain(df), raising=False)
+    got = catalog_payloads.enriched(spark, "/root/testdata/sf0.001")
+    nested = [df.count() for df in written if "attacks" in df.columns]
+    assert len(nested) == 1 and nested[0] < got.count() / 2
+    asked = catalog_payloads.requests(spark, "/root/testdata/sf0.001")
+    want = plain(attacks.attacks_of(asked))
+    found = {str(r.event_id): r.attacks for r in got.where("attacks is not null").select("event_id", "attacks").collect()}
+    assert found == {r.rid: r.attacks for r in want.collect()} and found
+    small = got.orderBy("event_id").drop("seq")
+    monkeypatch.setattr(contents, "small", lambda *_: False)
+    large = catalog_payloads.enriched(spark, "/root/testdata/sf0.001").orderBy("event_id").drop("seq")
+    assert small.columns == large.columns and small.toJSON().collect() == large.toJSON().collect()
