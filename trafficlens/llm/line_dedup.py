@@ -1,13 +1,13 @@
 """Operator 6 [native]: fuzzy line deduplication by MinHash.
 
-Every line has character shingles (those of five characters at every position) and a signature over them; lines that
-share a band are candidates, verified by the exact Jaccard similarity of their shingle sets.  Components of the
-verified links come from distributed union-find, and the first line of each component stays.
+Every line has character shingles (those of five characters at every position).  Their hashes, sorted, are a ring; what
+follows a mark on the ring is a band, and lines that share a band are candidates, verified by the exact Jaccard similarity
+of their shingle sets.  Components of the verified links come from distributed union-find, and the first line of each
+component stays.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +17,16 @@ from .common import components, materialise, sent, table
 
 #: Characters of a shingle.  Shingles start at every character, in all scripts; a shorter line is one shingle.
 SHINGLE = 5
-#: A signature has one value for each of ORDERS random orders of the shingles.
-ORDERS = 24
-#: Bands of five values, each value in several bands: a pair shares no band with a probability of 0.006 at similarity
-#: 0.8, 0.001 at 0.85, 0.0001 at 0.9.  Lines of one language, 0.03 alike on average, share one by chance once in 10**6.
-BANDS, BAND = 32, 5
+#: Marks on the ring of hashes, evenly spaced.  A band is the BAND entries that follow a mark, a value of the signature the
+#: first of them: one order of the shingles serves all.  Entries may be marks themselves, so a short line has fewer hashes
+#: a band.  By simulation, a pair at similarity 0.8 shares no band with a probability of 0.005 with 1,000 shingles, 0.003
+#: with 330, below 0.001 up to 160.
+BANDS, BAND = 17, 6
+ORDERS = BANDS
+_MARKS = [(k << 32) // BANDS - (1 << 31) for k in range(BANDS)]
 #: Fewest equal values of a signature with which a candidate is verified: a pair at similarity 0.8 has fewer with a
-#: probability of 0.0002.
-LEAST_EQUAL = 11
+#: probability below 0.001, by the same simulation.
+LEAST_EQUAL = 8
 THRESHOLD = 0.8
 #: Buckets of up to so many lines give all their pairs.  Larger ones link their lines to LEADERS of them, the first in as
 #: many random orders of all lines (so that a family has about the same leaders in all its buckets).
@@ -41,29 +43,6 @@ COMPARED_A_TASK = 500_000
 #: Rounding that a comparison of shares allows.
 SLACK = 1e-9
 
-_random = random.Random(6)
-#: Each mask gives two random orders of the shingles, by its least and its greatest hash.
-_MASKS = [_random.getrandbits(63) for _ in range(ORDERS // 2)]
-
-
-def _deal() -> list[list[int]]:
-    """The values of each band, dealt from shuffled packs of all orders: every value serves about as many bands."""
-    hands: list[list[int]] = []
-    pack: list[int] = []
-    while len(hands) < BANDS:
-        hand: list[int] = []
-        while len(hand) < BAND:
-            pack = pack or _random.sample(range(ORDERS), ORDERS)
-            card = next((x for x in pack if x not in hand), None)
-            pack.remove(card) if card is not None else pack.clear()
-            hand += [] if card is None else [card]
-        hands.append(sorted(hand))
-    return hands
-
-
-_HANDS = _deal()
-
-
 def line_of(raw: Column) -> Column:
     return F.lower(F.trim(raw))
 
@@ -86,15 +65,22 @@ def once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def each_shingle(line: Column, hashed: Callable[..., Column]) -> Column:
+    """The hashes of the line's shingles.  Lambdas are interpreted, so they hold as little as can be."""
+    last = lambda wide: F.greatest(F.octet_length(wide) - 4 * SHINGLE + 1, F.lit(1))
+    return once(characters(line), lambda wide: F.transform(F.sequence(F.lit(1), last(wide), F.lit(4)), lambda at: hashed(F.substring(wide, at, F.lit(4 * SHINGLE)))))
+
+
 def shingle_hashes(line: Column) -> Column:
-    last = lambda wide: F.greatest(F.octet_length(wide) / 4 - SHINGLE, F.lit(0)).cast("int")
-    return once(characters(line), lambda wide: F.transform(F.sequence(F.lit(0), last(wide)), lambda i: shingle_at(wide, i)))
+    return each_shingle(line, F.xxhash64)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, dk (key of the document's row), no, line, fp (64-bit key of the line); lines without text left out."""
     split = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return split.select("doc_id", "dk", "no", line_of(F.col("raw")).alias("line")).where("line <> ''").withColumn("fp", F.xxhash64("line"))
+    # Blank ones go before lower() and the key, which would else be computed for the filter too.
+    filled = split.withColumn("raw", F.trim("raw")).where("raw <> ''")
+    return filled.select("doc_id", "dk", "no", F.lower("raw").alias("line")).withColumn("fp", F.xxhash64("line"))
 
 
 def shingles(texts: DataFrame) -> DataFrame:
@@ -103,21 +89,43 @@ def shingles(texts: DataFrame) -> DataFrame:
     return wide.select("fp", "wide", F.explode("starts").alias("i")).select("fp", "i", shingle_at(F.col("wide"), F.col("i")).alias("h"))
 
 
+def rings(texts: DataFrame) -> DataFrame:
+    """texts: line, ... -> without line, with m (the size of the line's shingle set, by 32-bit hashes), s0.. (its signature)
+    and bands (64-bit keys).  All is made of the row alone: nothing is grouped or shuffled by line."""
+    others = [c for c in texts.columns if c != "line"]
+    # A step for each array that several columns read, so that it is computed once.
+    hashes = each_shingle(F.col("line"), F.hash)
+    made = texts.select(*others, F.sort_array(F.array_distinct(F.concat(hashes, F.array(*map(F.lit, _MARKS))))).alias("ring"))
+    made = made.select(*others, (F.size("ring") - BANDS).alias("m"), F.concat("ring", F.slice("ring", 1, BAND)).alias("ring"))
+    # Projections that hold a lambda are compiled in pieces; without one, all of the places or bands would be one method, too
+    # large to be compiled at all.
+    places = F.array(*(F.array_position("ring", F.lit(mark)).cast("int") for mark in _MARKS))
+    made = made.select(*others, "m", "ring", F.transform(places, lambda at: at + 1).alias("after"))
+    bands = F.array(*(F.xxhash64(F.lit(k), F.slice("ring", F.element_at("after", k + 1), F.lit(BAND))) for k in range(BANDS)))
+    made = made.select(*others, "m", F.transform("after", lambda at: F.element_at("ring", at)).alias("first"), bands.alias("bands"))
+    return made.select(*others, "m", *(F.element_at("first", k + 1).alias(f"s{k}") for k in range(BANDS)), "bands")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """fp, n (how often the line occurs), s0.. (its signature, 32 bits a value)."""
-    h = F.col("h")
-    ends = [end(h.bitwiseXOR(F.lit(c))).alias(f"s{2 * i + j}") for i, c in enumerate(_MASKS) for j, end in enumerate((F.min, F.max))]
-    signed = shingles(lines(docs).select("fp", "line")).groupBy("fp").agg(F.count_if(F.col("i") == 0).alias("n"), *ends)
-    return signed.select("fp", "n", *(F.hash(f"s{k}").alias(f"s{k}") for k in range(ORDERS)))
+    """fp, m, s0.. of each distinct line."""
+    return rings(lines(docs).select("fp", "line").dropDuplicates(["fp"])).drop("bands")
 
 
-def buckets(unique: DataFrame) -> DataFrame:
-    """fp, band, bucket, size: the members of every bucket of more than one line."""
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"s{i}") for i in hand)) for k, hand in enumerate(_HANDS)))
-    members = unique.select("fp", F.posexplode(keys).alias("band", "bucket"))
-    # Most buckets hold one line: they are counted by themselves, and only the others' lines are gathered.
-    shared = materialise(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    return materialise(members.join(sent(shared), "bucket"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """A row for each line of each document: id (its own), doc_id, dk, no, fp, m, p0.. (packed signature), bands."""
+    signed = rings(lines(docs))
+    return signed.select(F.monotonically_increasing_id().alias("id"), "doc_id", "dk", "no", "fp", "m", *packed_values(), "bands")
+
+
+def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """unique: fp, bands -> the pairs a < b of the buckets of two lines; fp, bucket, size of the members of larger ones."""
+    members = unique.select("fp", F.explode("bands").alias("bucket"))
+    # Most buckets hold one line, most others two: these are counted and paired by themselves, and only the lines of larger
+    # ones are gathered.
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("size > 1")
+    shared = materialise(shared)
+    crowded = materialise(shared.where("size > 2").select("bucket", "size"))
+    return shared.where("size = 2").select("a", "b"), materialise(members.join(sent(crowded), "bucket"))
 
 
 def inside(small: DataFrame) -> DataFrame:
@@ -155,7 +163,7 @@ def across(members: DataFrame, unique: DataFrame, texts: DataFrame, threshold: f
     parts = {"a": F.ceil(F.col("stray") / SALTED), "b": F.ceil(F.col("size") / (16 * SALTED))}
     # A line is in BANDS buckets at most.
     own = members.groupBy("fp").agg(F.collect_list("bucket").alias("own"))
-    facts = materialise(packed(unique).join(own, "fp").join(texts.drop("line"), "fp"))
+    facts = materialise(unique.select("fp", *PACKED).join(own, "fp").join(texts.drop("line"), "fp"))
     rows = materialise(members.join(facts, "fp"))
 
     def side(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -184,13 +192,18 @@ _FREE = sum((1 << LANE - 1) << LANE * k for k in range(LANES))
 BITMAP = ["m", "bits", *(f"w{k}" for k in range(WORDS))]
 
 
-def packed(unique: DataFrame) -> DataFrame:
-    """fp, p0.. : signatures that a few instructions compare (few enough to be compiled; a test of each value isn't)."""
+def packed_values() -> list[Column]:
+    """p0.. : a signature that a few instructions compare (few enough to be compiled; a test of each value isn't)."""
     words = [F.lit(0).cast("long") for _ in PACKED]
     for k in range(ORDERS):
         low = F.col(f"s{k}").cast("long").bitwiseAND(F.lit((1 << LANE - 1) - 1))
         words[k // LANES] = words[k // LANES].bitwiseOR(F.shiftleft(low, LANE * (k % LANES)))
-    return unique.select("fp", *(w.alias(p) for w, p in zip(words, PACKED, strict=True)))
+    return [w.alias(p) for w, p in zip(words, PACKED, strict=True)]
+
+
+def packed(unique: DataFrame) -> DataFrame:
+    """fp, p0.. of signatures."""
+    return unique.select("fp", *packed_values())
 
 
 def equal_values() -> Column:
@@ -219,25 +232,32 @@ def both_sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
-def alike(pairs: DataFrame, unique: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in LEAST_EQUAL values."""
+def alike(pairs: DataFrame, unique: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose set sizes allow the threshold and whose signatures agree in LEAST_EQUAL values."""
     pairs = materialise(pairs)
     nodes = sent(materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
-    signed = materialise(packed(unique.join(nodes, "fp", "left_semi")))
-    return both_sides(pairs, signed).where(equal_values() >= LEAST_EQUAL).select("a", "b")
+    signed = materialise(unique.select("fp", "m", *PACKED).join(nodes, "fp", "left_semi"))
+    # Sizes by 32-bit hashes may be a little too small.
+    sizes = F.least("m_a", "m_b") + 1 >= F.greatest("m_a", "m_b") * (threshold * 0.99)
+    return both_sides(pairs, signed).where(sizes & (equal_values() >= LEAST_EQUAL)).select("a", "b")
+
+
+def with_sizes(texts: DataFrame) -> DataFrame:
+    """texts: fp, line -> with m, the size of the line's shingle set."""
+    return texts.withColumn("m", F.size(F.array_distinct(shingle_hashes(F.col("line")))))
 
 
 def with_bitmaps(texts: DataFrame) -> DataFrame:
     """texts: fp, line -> with m, the size of the line's shingle set, and w0.., a bitmap of it."""
     words = [F.expr(f"bit_or(IF((h & {WORDS - 1}) = {k}, shiftleft(1L, CAST(shiftrightunsigned(h, 8) & 63 AS INT)), 0L))").alias(f"w{k}") for k in range(WORDS)]
-    sized = texts.withColumn("m", F.size(F.array_distinct(shingle_hashes(F.col("line")))))
+    sized = texts if "m" in texts.columns else with_sizes(texts)
     bits = sum((F.bit_count(f"w{k}") for k in range(WORDS)), F.lit(0))
     return sized.join(shingles(texts).groupBy("fp").agg(*words).withColumn("bits", bits), "fp")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  `pairs` is a written table,
-    texts are of with_bitmaps.  Pairs are few bytes and much work, so they are dealt by their number."""
+    texts are of with_sizes.  Pairs are few bytes and much work, so they are dealt by their number."""
     tasks = min(MOST_TASKS, max(1, -(-pairs.count() // PAIRS_A_TASK)))
     both = both_sides(pairs, texts.select("fp", "line", "m")).repartition(tasks, "a", "b")
     common = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
@@ -245,40 +265,47 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """node, root of the components of lines at the threshold.  unique: fp, s0.. (signature).
+    """node, root of the components of lines at the threshold.  unique: fp, m, p0.., bands of each distinct line.
 
     Small buckets give all their pairs, large ones the pairs with their leaders; the members of a large bucket
     that these links leave outside its most frequent component are then compared with all of it.  So no bucket is cut, and a
     family that the links have joined is no square of pairs; lines of a large bucket that stay apart are."""
-    members = buckets(unique)
+    twos, members = buckets(unique)
     large = materialise(members.where(F.col("size") > SMALL))
-    pairs = materialise(alike(inside(members.where(F.col("size") <= SMALL)).union(led(large)).distinct(), unique))
+    pairs = twos.union(inside(members.where(F.col("size") <= SMALL))).union(led(large)).distinct()
+    pairs = materialise(alike(pairs, unique, threshold))
     wanted = large.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = materialise(lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"]))
-    texts = materialise(with_bitmaps(texts))
-    likely = materialise(both_sides(pairs, texts.drop("line")).where(may_be_alike(threshold)).select("a", "b"))
-    roots = components(materialise(verified(likely, texts, threshold)))
+    texts = lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"])
+    texts = materialise(with_sizes(materialise(texts)))
+    roots = components(materialise(verified(pairs, texts, threshold)))
     large = apart(large, roots)
-    new = materialise(across(large, unique, texts, threshold).join(pairs, ["a", "b"], "left_anti"))
+    if large.isEmpty():
+        return roots
+    crowd = sent(materialise(large.select("fp").distinct()))
+    mapped = materialise(with_bitmaps(texts.join(crowd, "fp", "left_semi")))
+    new = materialise(across(large, unique, mapped, threshold).join(pairs, ["a", "b"], "left_anti"))
     found = materialise(verified(new, texts, threshold))
     if found.isEmpty():
         return roots
     return components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """fp, root: for every line that has a copy or a near copy, the key of its component."""
-    unique = materialise(signatures(docs))
+def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """fp, root: for every line that has a copy or a near copy, the key of its component.  found: the docs' occurrences."""
+    copied = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("fp", "first")
+    copied = materialise(copied)
+    # The first occurrence of each line stands for all.
+    unique = found.join(sent(copied), "fp", "left").where("first is null or first = id").select("fp", "m", *PACKED, "bands")
     roots = near_roots(unique, docs, threshold)
-    copied = unique.where("n > 1").select("fp")
-    return copied.join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
+    return copied.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "full").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, dk, drop: of each document that loses lines, their numbers."""
-    roots = sent(materialise(classes(docs, threshold)))
+    every = materialise(occurrences(docs))
+    roots = sent(materialise(classes(every, docs, threshold)))
     # Each occurrence of a line of a class; a hot line is spread by salt.
-    found = lines(docs).select("doc_id", "dk", "no", "fp").join(roots, "fp").drop("fp")
+    found = every.select("doc_id", "dk", "no", "fp").join(roots, "fp").drop("fp")
     found = materialise(found.withColumn("salt", F.pmod(F.xxhash64("dk", "no"), F.lit(SALTS)).cast("int")))
     place = F.struct("doc_id", "dk", "no")
     first = found.groupBy("root", "salt").agg(F.min(place).alias("first")).groupBy("root").agg(F.min("first").alias("first"))
