@@ -233,13 +233,13 @@ def both_sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, unique: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose set sizes allow the threshold and whose signatures agree in LEAST_EQUAL values."""
+    """The pairs whose set sizes allow the threshold and whose signatures agree in LEAST_EQUAL values; equal: in how many."""
     pairs = materialise(pairs)
     nodes = sent(materialise(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()))
     signed = materialise(unique.select("fp", "m", *PACKED).join(nodes, "fp", "left_semi"))
     # Sizes by 32-bit hashes may be a little too small.
     sizes = F.least("m_a", "m_b") + 1 >= F.greatest("m_a", "m_b") * (threshold * 0.99)
-    return both_sides(pairs, signed).where(sizes & (equal_values() >= LEAST_EQUAL)).select("a", "b")
+    return both_sides(pairs, signed).withColumn("equal", equal_values()).where(sizes & (F.col("equal") >= LEAST_EQUAL)).select("a", "b", "equal")
 
 
 def with_sizes(texts: DataFrame) -> DataFrame:
@@ -250,18 +250,41 @@ def with_sizes(texts: DataFrame) -> DataFrame:
 def with_bitmaps(texts: DataFrame) -> DataFrame:
     """texts: fp, line -> with m, the size of the line's shingle set, and w0.., a bitmap of it."""
     words = [F.expr(f"bit_or(IF((h & {WORDS - 1}) = {k}, shiftleft(1L, CAST(shiftrightunsigned(h, 8) & 63 AS INT)), 0L))").alias(f"w{k}") for k in range(WORDS)]
-    sized = texts if "m" in texts.columns else with_sizes(texts)
+    sized = with_sizes(texts)
     bits = sum((F.bit_count(f"w{k}") for k in range(WORDS)), F.lit(0))
     return sized.join(shingles(texts).groupBy("fp").agg(*words).withColumn("bits", bits), "fp")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs a, b whose shingle sets have a Jaccard similarity of at least the threshold.  `pairs` is a written table,
-    texts are of with_sizes.  Pairs are few bytes and much work, so they are dealt by their number."""
+    texts: fp, line.  Pairs are few bytes and much work, so they are dealt by their number."""
     tasks = min(MOST_TASKS, max(1, -(-pairs.count() // PAIRS_A_TASK)))
-    both = both_sides(pairs, texts.select("fp", "line", "m")).repartition(tasks, "a", "b")
-    common = F.size(F.array_intersect(shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))))
-    return both.where(common >= least_common(threshold)).select("a", "b")
+    both = both_sides(pairs, texts.select("fp", "line")).repartition(tasks, "a", "b")
+    sets = F.struct(*(shingle_hashes(F.col(f"line_{x}")).alias(x * 2) for x in "ab"))
+    # Generated, not selected: the filter would else be moved before the dealing, and hash each line for each of its uses.
+    hashed = both.select("a", "b", F.inline(F.array(sets)))
+    common, either = F.size(F.array_intersect("aa", "bb")), F.size(F.array_union("aa", "bb"))
+    return hashed.where(common >= either * F.lit(threshold) - SLACK).select("a", "b")
+
+
+def joined(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """node, root of the components of the pairs that reach the threshold.  pairs: a, b, equal.  Each line is first held
+    against the one whose signature is most like its own; of the other pairs only those need verifying that this leaves in
+    different components."""
+    tree = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")).select("a", "b"))
+    roots = components(materialise(verified(tree, texts, threshold)))
+    rest = pairs.join(tree, ["a", "b"], "left_anti")
+    for x in "ab":
+        rest = rest.join(sent(roots).select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    rest = materialise(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    return linked(roots, materialise(verified(rest, texts, threshold)))
+
+
+def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root when links a, b (a written table) join components."""
+    if links.isEmpty():
+        return roots
+    return components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
 
 
 def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -276,18 +299,15 @@ def near_roots(unique: DataFrame, docs: DataFrame, threshold: float) -> DataFram
     pairs = materialise(alike(pairs, unique, threshold))
     wanted = large.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = lines(docs).join(sent(materialise(wanted)), "fp").select("fp", "line").dropDuplicates(["fp"])
-    texts = materialise(with_sizes(materialise(texts)))
-    roots = components(materialise(verified(pairs, texts, threshold)))
+    texts = materialise(texts)
+    roots = joined(pairs, texts, threshold)
     large = apart(large, roots)
     if large.isEmpty():
         return roots
     crowd = sent(materialise(large.select("fp").distinct()))
     mapped = materialise(with_bitmaps(texts.join(crowd, "fp", "left_semi")))
     new = materialise(across(large, unique, mapped, threshold).join(pairs, ["a", "b"], "left_anti"))
-    found = materialise(verified(new, texts, threshold))
-    if found.isEmpty():
-        return roots
-    return components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
+    return linked(roots, materialise(verified(new, texts, threshold)))
 
 
 def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
