@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.operators import indicators
+from trafficlens.plans import publish
 from trafficlens.plans import sql as sql_plan
 from trafficlens.sources import log as source
+from trafficlens.sources import sinks
 from trafficlens.streaming import live
 
 
@@ -88,3 +92,20 @@ def test_pattern_of_names_lists_the_folder(spark, tmp_path):
     assert source.read_log(spark, f"{tmp_path}/*.jsonl*").count() == 2
     found = source.files_of(spark.read.format("text"), f"{tmp_path}/*.jsonl*")
     assert len(found.inputFiles()) == 2 and "pathGlobFilter" not in found.columns
+
+
+def test_publishing_goes_by_pending_lines(spark, tmp_path, monkeypatch):
+    """Lines of days that are not due or done are not parsed, the others once; texts that hold no token are searched once."""
+    parsed, searched = [], []
+    parse, tokens = source.parse, publish.issued_tokens
+    monkeypatch.setattr(source, "parse", lambda lines: parsed.append(lines.count()) or parse(lines))
+    monkeypatch.setattr(publish, "issued_tokens", lambda texts, key: searched.append(texts.where("text <> ''").count()) or tokens(texts, key))
+    (tmp_path / "src").mkdir()
+    for day, n in (("2026-01-01", 3), ("2026-01-09", 5)):
+        (tmp_path / "src" / f"{day}.jsonl").write_text('{"kind": "request", "rid": "1", "path": "/%41", "headers": []}\n' * n + "junk\n")
+    src, dst, now = f"{tmp_path}/src/*.jsonl*", str(tmp_path / "dst"), datetime(2026, 1, 9, 12)
+    manifest = sinks.MANIFEST
+    first = publish.materialise(publish.publish(spark, src, dst, spark.createDataFrame([], manifest), b"k" * 32, "salt", now))
+    assert parsed == [4] and searched == [3, 3]  # the second search is of what decoding makes of the texts
+    assert [(r.day, r.rows, r.malformed) for r in first.collect()] == [("2026-01-01", 3, 1)]
+    assert publish.publish(spark, src, dst, first, b"k" * 32, "salt", now).count() == 1 and parsed == [4]
