@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trafficlens.llm.mixing import RANGES, mix, range_of
-from trafficlens.llm.tool_calls import SCHEMA, link_calls, message_calls
+from trafficlens.llm.tool_calls import SCHEMA, TOOLS, conversation_calls, link_calls, message_calls
 from trafficlens.llm.topk import top_k, valid_vectors
 from trafficlens.llm.url_filter import RULES, Rule, judge_urls
 
@@ -114,6 +114,15 @@ def test_tool_calls(spark):
     assert link_calls(calls.limit(0), results.limit(0), schemas).collect() == []
 
 
+def test_turns_follow_each_other(spark):
+    """The calls of a conversation are ordered by what they follow, not only by their turns."""
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (2, 7, "user", "alone"), (3, None, "user", "x")]
+    calls, results = conversation_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    placed = lambda calls: {(r.conv_id, r.call_id): r.round for r in link_calls(calls, results, spark.createDataFrame(TOOLS, SCHEMA)).collect()}
+    assert placed(calls) == {(1, "turn:0"): 0, (1, "turn:1"): 0, (1, "turn:3"): 0, (2, "turn:7"): 0}
+    assert placed(calls.withColumn("position", -F.col("position"))) == {(1, "turn:0"): 0, (1, "turn:1"): 1, (1, "turn:3"): 2, (2, "turn:7"): 0}
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
