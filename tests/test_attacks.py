@@ -173,3 +173,17 @@ def test_no_indicator_is_cut(spark):
     cls = {r.rid: {(a.cls, a.location) for a in r.attacks} for r in found.where("attacks is not null").collect()}
     assert ("sqli", "query:z") in cls["pieces"] and ("xss", "body:z") in cls["fields"] and ("xss", "body:k") in cls["deep"] and ("xss", "body:a249") in cls["parts"]
     assert ("xss", "body") in cls["nested"] and ("xss", "body") in cls["late"]
+
+
+def test_rows_without_content_are_spread(spark, monkeypatch):
+    """Rows in which nothing is looked for don't gather in one task when what is found is too large to be sent."""
+    monkeypatch.setattr(contents, "small", lambda *_: False)
+    log = spark.range(4_000).select(F.col("id").alias("seq"), F.lit("/").alias("path"), (F.col("id") == 0).alias("asked"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = contents.with_found(log, F.col("asked"), lambda c: c.select("rid", F.lit(1).alias("one")))
+        dealt = {r["p"]: (r["n"], r["ones"]) for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("one").alias("ones")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(n for n, _ in dealt.values()) == 4_000 and sum(x or 0 for _, x in dealt.values()) == 1
+    assert max(n for n, _ in dealt.values()) < 2_000
